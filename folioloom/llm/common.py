@@ -86,3 +86,16 @@ def sums_before(parts: DataFrame, **sums: Column) -> DataFrame:
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     per = parts.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     return per.select("_part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).cast("long").alias(k) for k in sums])
+
+
+def by_group(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` joined with their group (``key``, its number of rows ``n``, and more).
+
+    Groups of over a thousandth of all rows are fewer than a thousand, so that they are broadcast, and
+    their rows don't move; the other groups are shuffled.
+    """
+    least = max(1000, rows.count() // 1000)
+    hot = F.broadcast(groups.filter(F.col("n") > least).withColumn("_hot", F.lit(True)))
+    near = rows.join(hot, key, "left")
+    rest = near.filter(F.col("_hot").isNull()).select(*rows.columns).join(groups.filter(F.col("n") <= least), key)
+    return near.filter("_hot").drop("_hot").unionByName(rest)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stage
+from .common import attach, by_group, stage
 
 INDEX = "bucket int, n_keys long, levels array<int>, bits binary, left binary, digests binary, ids binary, rows binary, counts binary"
 GROUPS = "digest binary, keep_id long, keep_row long, group_size long, in_history boolean"
@@ -160,14 +160,9 @@ def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with the group of its digest. Groups of over a thousandth of all rows, under a thousand of them, are broadcast."""
-    total = rows.count()
-    least = max(1000, total // 1000)
-    kept = groups.select("digest", "keep_id", "keep_row", "group_size")
-    hot = F.broadcast(kept.filter(F.col("group_size") > least).withColumn("_hot", F.lit(True)))
-    near = rows.join(hot, "digest", "left")
-    rest = near.filter(F.col("_hot").isNull()).select(*rows.columns).join(kept.filter(F.col("group_size") <= least), "digest")
-    return near.filter("_hot").drop("_hot").unionByName(rest)
+    """Each row with the group of its digest."""
+    found = by_group(rows, groups.select("digest", "keep_id", "keep_row", F.col("group_size").alias("n")), ["digest"])
+    return found.withColumnRenamed("n", "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, tokenio, urlfilter
-from .common import attach, read_table
+from . import exact_dedup, jaccard, langid, mixing, packing, quality, sharding, tokenio, toxicity, urlfilter
+from .common import attach, crc_fold, read_table
 
 #: The public tokenizer file that op10 uses, by name.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir, "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels")
+    held = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = toxicity.train(docs.filter(~held), labels.filter(~held).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.rules(_docs(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "doc_id", "text", "lang")
+    held = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(True))
+    out = langid.identify(docs, langid.learn(docs.filter(~held)))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_docs(spark, sf_dir, "doc_id", "text"), words=3, percent=90)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir, "doc_id", "text", "source"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,7 +73,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op7_mixing, op8_sharding, op9_url_filter, op10_token_output)
+    found = (op1_exact_dedup, op2_toxicity, op3_quality, op4_language, op5_jaccard_join, op6_packing, op7_mixing, op8_sharding, op9_url_filter, op10_token_output)
     return {f.__name__: f for f in found}
 
 
