@@ -104,3 +104,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     copies = F.col("_full") + F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)
     taken = sized.join(cuts, F.col("_source").eqNullSafe(F.col("source")))
     return taken.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (copies * F.col("_size")).alias("taken"), copies.alias("copies"))
+
+
+def draw(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as it is taken, none, once or more; all columns as they are."""
+    hashed = id_hash(F.col("doc_id"))
+    sized = stage(docs.select(F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), hashed.alias("_hash")), "mix-sizes")
+    sums = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    cuts = thresholds(sized, source_targets(sums, weights, share, passes))
+    cuts = stage(cuts.select(F.col("source").alias("_fl_source"), F.col("_full").alias("_fl_full"), F.col("_cut").alias("_fl_cut")), "mix-cuts")
+    copies = (F.col("_fl_full") + F.when(hashed < F.col("_fl_cut"), 1).otherwise(0)).cast("int")
+    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col("_fl_source")))
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("_fl_copy")).drop("_fl_copy")
