@@ -10,6 +10,7 @@ its file as a whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -25,38 +26,100 @@ from .common import attach, new_path
 
 #: Id that ends each document; fixed by the contract.
 END = 1
-#: Words whose ids a worker keeps at most; beyond that it starts anew.
-CACHE = 250_000
+#: Runs whose ids a worker keeps, in each of two generations; bytes of text split at once; runs encoded at once.
+CACHE, CHUNK, CALL = 200_000, 1 << 20, 2_000
+
+
+class _Kept:
+    """A cache of two generations: what is used stays, what isn't goes when the younger one is full twice."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def missing(self, keys) -> list[bytes]:
+        """Distinct keys that aren't known; those of the older generation move to the younger."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in set(keys).difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+
+def _base(run: bytes) -> tuple[bytes, bytes]:
+    """A run in the form that is encoded, and the punctuation after it that is always a token of its own."""
+    if b"<|" in run:  # may hold a special token, which is matched as it is written
+        return run, b""
+    run = run.lower()
+    if len(run) > 1 and run[-1:] in b".," and run[-2:-1].isalpha():
+        return run[:-1], run[-1:]
+    return run, b""
 
 
 class WordEncoder:
-    """Encodes whole texts piece by piece: ids of a text are those of its runs between ASCII white space.
+    """Encodes whole texts run by run: ids of a text are those of its runs between ASCII white space.
 
     The tokenizer drops white space and lets no token cross it, so that a run's ids don't depend on its
-    neighbours; each distinct run is encoded once. Ids must be below 65536.
+    neighbours; it also ignores the case of letters. Ids must be below 65536.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.runs, self.bases = Tokenizer.from_file(path), _Kept(), _Kept()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters alone go as one text, cut where a token ends a word."""
+        out = {}
+        plain = [w for w in words if w.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(plain):  # a letter that changes into several tokens in lower case would add an end
+                data, at = ids.tobytes(), 0
+                for w, end in zip(plain, ends, strict=True):
+                    out[w], at = data[at:end], end
+        rest = [w for w in words if w not in out]
+        out.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [out[w] for w in words]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        pairs = [_base(r) for r in runs]
+        new = self.bases.missing([x for pair in pairs for x in pair if x])
+        known = self.bases.young
+        for i in range(0, len(new), CALL):
+            some = new[i : i + CALL]
+            known.update(zip(some, self._encode([w.decode() for w in some]), strict=True))
+        known[b""] = b""
+        self.runs.young.update((r, known[base] + known[rest] if rest else known[base]) for r, (base, rest) in zip(runs, pairs, strict=True))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text its ids and END, as little-endian unsigned 16-bit integers."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split for w in words})
-        if new:
-            runs = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, runs, strict=True))
-        end = np.array([END], "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        end, at = np.array([END], "<u2").tobytes(), 0
+        while at < len(texts):
+            split, held = [], 0
+            while at < len(texts) and (held < CHUNK or not split):
+                raw = (texts[at] or "").encode("utf-8", "replace")
+                split.append(raw.split())
+                held, at = held + len(raw), at + 1
+            self._learn(self.runs.missing([w for words in split for w in words]))
+            known = self.runs.young
+            for words in split:
+                yield b"".join(map(known.__getitem__, words)) + end
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, which keeps what it knows from task to task."""
+    return WordEncoder(path)
 
 
 def file_schema(length: int) -> pa.Schema:
@@ -158,7 +221,7 @@ def export(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048) ->
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, part = WordEncoder(tokenizer), first.column("part")[0].as_py()
+        encoder, part = encoder_of(tokenizer), first.column("part")[0].as_py()
         fs, root = pafs.FileSystem.from_uri(folder)
         path = f"{root}/part-{part:06d}.arrow"
         count, total = write_file(fs, path, encoded(), length)
