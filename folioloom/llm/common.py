@@ -18,8 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that Spark hands a Python worker at once, whatever the number of rows: long texts come in small batches.
+BATCH_BYTES = 4 << 20
+
+
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them."""
+    """Let Python workers import this package when it isn't installed on them, and bound what they hold at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

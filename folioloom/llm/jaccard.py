@@ -31,7 +31,7 @@ from .common import WORD, attach, by_group, drop_staged, stage
 #: Hash buckets for shingle frequencies; classes for the suffix filter. Both bound what is broadcast or carried.
 BUCKETS, CLASSES = 1 << 16, 16
 #: Word hashes a worker keeps.
-CACHE = 500_000
+CACHE = 250_000
 
 
 class _Words(dict):
@@ -131,12 +131,18 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return length & (F.least(pa_, pb) + 1 + F.least(sa - pa_ - 1, sb - pb - 1) >= _needed(sa, sb, percent))
 
 
-def first_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Of each shingle's rows (token, id, size, at), by size: every row with the first one, and with the one before it."""
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """The rows (token, id, size, at) of shingles that several sets have in their prefix, by size, with the
+    first row and the one before. One shuffle; the window only looks at neighbours and the first row."""
     by = W.partitionBy("token").orderBy("size", "id")
     me = F.struct("id", "size", "at")
-    seen = prefixes.select(me.alias("me"), F.first(me).over(by).alias("lead"), F.lag(me).over(by).alias("prev"))
-    near = seen.filter(F.col("prev").isNotNull()).select("me", F.explode(F.array_distinct(F.array("lead", "prev"))).alias("other"))
+    seen = tokens.withColumns({"lead": F.first(me).over(by), "prev": F.lag(me).over(by), "_next": F.lead("id").over(by)})
+    return seen.filter(F.col("prev").isNotNull() | F.col("_next").isNotNull()).drop("_next")
+
+
+def first_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Of each shingle's rows, by size: every row with the first one, and with the one before it."""
+    near = prefixes.filter(F.col("prev").isNotNull()).select(F.struct("id", "size", "at").alias("me"), F.explode(F.array_distinct(F.array("lead", "prev"))).alias("other"))
     return _ordered(near.filter(_possible("me", "other", percent)))
 
 
@@ -152,7 +158,7 @@ def cross_pairs(prefixes: DataFrame, component: DataFrame, percent: int) -> Data
     ``component`` (id, root) has the nodes that have links. Of a shingle's components the one with most
     rows is joined only with the rest, so a large component costs its rows times those outside it.
     """
-    rows = prefixes.join(component, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = prefixes.select("token", "id", "size", "at").join(component, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     rows = stage(rows.join(mixed, "token"), "join-mixed")
     per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("_m")).select("token", F.col("_m.root").alias("major"))
@@ -252,13 +258,14 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """
     attach(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    rows = stage(describe(texts, words, percent, frequencies(texts, words)), "join-sets")
+    sets = stage(describe(texts, words, percent, frequencies(texts, words)), "join-sets")
+    rows = stage(sets.select("id", "size", "sign"), "join-rows")
     real = rows.filter("size > 0 and id is not null")
-    classes = real.groupBy("sign", "size").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("prefix").alias("prefix"), F.first("classes").alias("classes"))
-    nodes = stage(classes, "join-nodes")
-    tokens = nodes.select("id", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    prefixes = stage(tokens.join(shared, "token"), "join-prefixes")
+    classes = sets.filter("size > 0 and id is not null").groupBy("sign", "size")
+    nodes = stage(classes.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes")), "join-nodes")
+    once = classes.agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
+    prefixes = stage(shared_tokens(once.select("id", "size", F.posexplode("prefix").alias("at", "token"))), "join-prefixes")
+    drop_staged(sets)
     found = link_all(texts, nodes, prefixes, words, percent)
     reps = nodes.select("sign", "size", "n", F.col("id").alias("rep"))
     marked = stage(by_group(real.select("id", "sign", "size"), reps, ["sign", "size"]), "join-marked")
