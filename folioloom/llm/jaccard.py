@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, by_group, drop_staged, stage
 
-#: Hash buckets for shingle frequencies; classes for the suffix filter. Both bound what is broadcast or carried.
-BUCKETS, CLASSES = 1 << 16, 16
+#: Hash buckets for shingle frequencies (16 MB as broadcast, whatever the input), the pieces they are summed in, and the largest count.
+BUCKETS, PIECES, MOST = 1 << 22, 64, (1 << 32) - 1
+#: Hash classes of the suffix filter: a byte for each and document. A class with FULL shingles or more has no known size.
+CLASSES, FULL = 256, 255
 #: Word hashes a worker keeps.
 CACHE = 250_000
 
@@ -73,27 +75,55 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """By bucket, how many (document, distinct shingle) pairs there are: a table of fixed size."""
+    """By bucket, how many (document, distinct shingle) pairs there are: a table of fixed size.
+
+    Each task counts into a table of its own, and hands it on in pieces; tasks that sum up pieces read
+    them one by one, so none holds more than its part of the table.
+    """
+    piece = BUCKETS // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, held, waiting = np.zeros(BUCKETS, np.uint32), [], 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(bucket_of(shingle_set(text, n)))
+                waiting += len(held[-1])
+            if waiting > 1 << 20:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
+                held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
+        for i in range(PIECES):
+            yield pa.record_batch({"piece": pa.array([i], pa.int32()), "counts": pa.array([total[i * piece : (i + 1) * piece].tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
-
-    rows = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int64)
+            for i, raw in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
+                own = sums.setdefault(i, np.zeros(piece, np.uint64))
+                own += np.frombuffer(raw.as_buffer(), np.uint32)
+        for i, own in sums.items():
+            yield pa.record_batch({"piece": pa.array([i], pa.int32()), "counts": pa.array([np.minimum(own, MOST).astype(np.uint32).tobytes()], pa.binary())})
+
+    kind = "piece int, counts binary"
+    rows = texts.select("text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()  # the table, PIECES rows
+    out = np.zeros(BUCKETS, np.uint32)
     for r in rows:
-        out[r.bucket] = r.n
+        out[r.piece * piece : (r.piece + 1) * piece] = np.frombuffer(r.counts, np.uint32)
     return out
 
 
 def rare_first(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """``hashes`` (sorted) in the global order: by their bucket's frequency, then by hash."""
-    return hashes[np.argsort(frequency[(hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)], kind="stable")]
+    return hashes[np.argsort(frequency[bucket_of(hashes)], kind="stable")]
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+
+
+def class_sizes(hashes: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), FULL).astype(np.uint8).tobytes()
 
 
 def describe(texts: DataFrame, n: int, percent: int, frequency: np.ndarray) -> DataFrame:
@@ -108,15 +138,15 @@ def describe(texts: DataFrame, n: int, percent: int, frequency: np.ndarray) -> D
                 sizes.append(len(s))
                 signs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefixes.append(rare_first(s, table.value)[: prefix_length(len(s), percent)].view(np.int64))
-                classes.append(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32))
+                classes.append(class_sizes(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.record_batch({
                 "id": batch.column("id"), "size": pa.array(sizes, pa.int64()), "sign": pa.array(signs, pa.binary()),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))),
-                "classes": pa.ListArray.from_arrays(pa.array(np.arange(0, len(classes) * CLASSES + 1, CLASSES, dtype=np.int32)), pa.array(np.concatenate(classes) if classes else np.zeros(0, np.int32))),
+                "classes": pa.array(classes, pa.binary()),
             })
 
-    return texts.mapInArrow(of, "id long, size long, sign binary, prefix array<long>, classes array<int>")
+    return texts.mapInArrow(of, "id long, size long, sign binary, prefix array<long>, classes binary")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -171,11 +201,21 @@ def cross_pairs(prefixes: DataFrame, component: DataFrame, percent: int) -> Data
 
 
 def suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets can still overlap enough: shingles of one hash class only meet each other."""
+    """Pairs whose sets can still overlap enough: shingles of one hash class only meet each other, so the
+    smaller sizes of the classes bound the overlap. Sets without much in common fail long before their texts are read."""
     side = lambda k: nodes.select(F.col("id").alias(k), F.col("size").alias(f"s{k}"), F.col("classes").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.filter(common >= _needed(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ca", "cb")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb")]
+            least = np.minimum(*known).astype(np.int64)
+            least[least == FULL] = 1 << 40  # both are full: no bound
+            size = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
+            keep = least.sum(1) * (100 + percent) >= percent * size
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
