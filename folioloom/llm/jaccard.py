@@ -30,8 +30,9 @@ from .common import WORD, attach, by_group, drop_staged, stage
 
 #: Hash buckets for shingle frequencies (16 MB as broadcast, whatever the input), the pieces they are summed in, and the largest count.
 BUCKETS, PIECES, MOST = 1 << 22, 64, (1 << 32) - 1
-#: Hash classes of the suffix filter: a byte for each and document. A class with FULL shingles or more has no known size.
-CLASSES, FULL = 256, 255
+#: Hash classes of the suffix filter, a bit for each: 128 bytes a document.
+CLASSES = 1024
+LONGS = CLASSES // 64
 #: Word hashes a worker keeps.
 CACHE = 250_000
 
@@ -122,31 +123,33 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def class_sizes(hashes: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), FULL).astype(np.uint8).tobytes()
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """By hash class whether the number of shingles is odd, as CLASSES / 64 longs."""
+    odd = np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def describe(texts: DataFrame, n: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """Of each text (id, text): size of its set, signature, prefix in order, sizes of its hash classes."""
+    """Of each text (id, text): size of its set, signature, prefix in order, parities of its hash classes."""
     table = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, signs, prefixes, classes = [], [], [], []
+            sizes, signs, prefixes, odd = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 signs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefixes.append(rare_first(s, table.value)[: prefix_length(len(s), percent)].view(np.int64))
-                classes.append(class_sizes(s))
+                odd.append(parities(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.record_batch({
                 "id": batch.column("id"), "size": pa.array(sizes, pa.int64()), "sign": pa.array(signs, pa.binary()),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))),
-                "classes": pa.array(classes, pa.binary()),
+                "parity": pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) * LONGS + 1, LONGS, dtype=np.int32)), pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64))),
             })
 
-    return texts.mapInArrow(of, "id long, size long, sign binary, prefix array<long>, classes binary")
+    return texts.mapInArrow(of, "id long, size long, sign binary, prefix array<long>, parity array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -161,6 +164,13 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return length & (F.least(pa_, pb) + 1 + F.least(sa - pa_ - 1, sb - pb - 1) >= _needed(sa, sb, percent))
 
 
+def _suffix(sa: Column, sb: Column, a: Column, b: Column, percent: int) -> Column:
+    """Suffix filter: a shingle that only one of two sets has changes one class's parity, so that the
+    differing parities are no more than the shingles in which the sets differ."""
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(LONGS)), F.lit(0))
+    return apart <= sa + sb - 2 * _needed(sa, sb, percent)
+
+
 def shared_tokens(tokens: DataFrame) -> DataFrame:
     """The rows (token, id, size, at) of shingles that several sets have in their prefix, by size, with the
     first row and the one before. One shuffle; the window only looks at neighbours and the first row."""
@@ -182,40 +192,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(me, other).alias("a"), F.greatest(me, other).alias("b")).filter("a < b").distinct()
 
 
-def cross_pairs(prefixes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each shingle's rows that are in different components.
+def cross_pairs(prefixes: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each shingle's rows that are in different components and pass all filters.
 
     ``component`` (id, root) has the nodes that have links. Of a shingle's components the one with most
-    rows is joined only with the rest, so a large component costs its rows times those outside it.
+    rows is joined only with the rest, so a large component costs its rows times those outside it. All
+    filters are conditions of the join: pairs that fail one never become rows.
     """
     rows = prefixes.select("token", "id", "size", "at").join(component, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     rows = stage(rows.join(mixed, "token"), "join-mixed")
     per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("_m")).select("token", F.col("_m.root").alias("major"))
-    rows = rows.join(per, "token").select("token", "root", F.struct("id", "size", "at").alias("row"), (F.col("root") == F.col("major")).alias("big"))
-    minor = rows.filter("not big").select("token", F.col("root").alias("root1"), F.col("row").alias("me"))
-    other = rows.select("token", F.col("root").alias("root2"), F.col("row").alias("other"), "big")
-    # a pair of two minor components comes once, from the lower root
-    pairs = minor.join(other, "token").filter((F.col("root1") != F.col("root2")) & (F.col("big") | (F.col("root1") < F.col("root2")))).filter(_possible("me", "other", percent))
-    return _ordered(pairs)
+    rows = rows.join(nodes.select("id", "parity"), "id").join(per, "token")
+    rows = stage(rows.select("token", "root", "id", "size", "at", "parity", (F.col("root") == F.col("major")).alias("big")), "join-marked")
+    side = rows.alias("me").filter("not big"), rows.alias("other")
+    apart = (F.col("me.root") != F.col("other.root")) & (F.col("other.big") | (F.col("me.root") < F.col("other.root")))  # two minor components meet once
+    same = F.col("me.token") == F.col("other.token")
+    close = _suffix(F.col("me.size"), F.col("other.size"), F.col("me.parity"), F.col("other.parity"), percent)
+    return _ordered(side[0].join(side[1], same & apart & _possible("me", "other", percent) & close))
 
 
 def suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets can still overlap enough: shingles of one hash class only meet each other, so the
-    smaller sizes of the classes bound the overlap. Sets without much in common fail long before their texts are read."""
-    side = lambda k: nodes.select(F.col("id").alias(k), F.col("size").alias(f"s{k}"), F.col("classes").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ca", "cb")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb")]
-            least = np.minimum(*known).astype(np.int64)
-            least[least == FULL] = 1 << 40  # both are full: no bound
-            size = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
-            keep = least.sum(1) * (100 + percent) >= percent * size
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return both.mapInArrow(check, "a long, b long").distinct()
+    """Pairs (a, b) that pass the suffix filter."""
+    side = lambda k: nodes.select(F.col("id").alias(k), F.col("size").alias(f"s{k}"), F.col("parity").alias(f"p{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_suffix(F.col("sa"), F.col("sb"), F.col("pa"), F.col("pb"), percent)).select("a", "b").distinct()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -279,8 +280,7 @@ def link_all(texts: DataFrame, nodes: DataFrame, prefixes: DataFrame, words: int
     """(id, root) of all nodes that have links."""
     first = stage(suffix_filter(first_pairs(prefixes, percent), nodes, percent), "join-first")
     near = components(verify(first, texts, words, percent))
-    rest = cross_pairs(prefixes, near, percent).join(first, ["a", "b"], "left_anti")
-    rest = stage(suffix_filter(rest, nodes, percent), "join-rest")
+    rest = stage(cross_pairs(prefixes, nodes, near, percent).join(first, ["a", "b"], "left_anti"), "join-rest")
     if rest.isEmpty():
         return near
     more = verify(rest, texts, words, percent)
@@ -302,7 +302,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     rows = stage(sets.select("id", "size", "sign"), "join-rows")
     real = rows.filter("size > 0 and id is not null")
     classes = sets.filter("size > 0 and id is not null").groupBy("sign", "size")
-    nodes = stage(classes.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes")), "join-nodes")
+    nodes = stage(classes.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("parity").alias("parity")), "join-nodes")
     once = classes.agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
     prefixes = stage(shared_tokens(once.select("id", "size", F.posexplode("prefix").alias("at", "token"))), "join-prefixes")
     drop_staged(sets)
