@@ -27,7 +27,7 @@ from .common import attach, new_path
 #: Id that ends each document; fixed by the contract.
 END = 1
 #: Runs whose ids a worker keeps, in each of two generations; bytes of text split at once; runs encoded at once.
-CACHE, CHUNK, CALL = 200_000, 1 << 20, 2_000
+CACHE, CHUNK, CALL = 400_000, 1 << 22, 2_000
 
 
 class _Kept:
