@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("mid", "dark", "light", "coverage", "largest")
+#: Names of the reasons, and the limits of caption text.
+REASONS = ("global_chroma", "document_prior_absent", "widespread_continuous_tone", "localized_continuous_tone_with_document", "isolated_tone_below_region_minimum", "document_without_continuous_tone")
+CAPTION = {"band": 0.18, "regions": 4, "area": 0.025, "inner": 0.020}
 
 
 def _f(x: float) -> Column:
@@ -28,12 +32,20 @@ def color_class(e: Column) -> Column:
 
 def color_reason(e: Column) -> Column:
     p = _parts(e)
-    return F.when(~e["is_gray"], "chroma").when(~p["prior"], "not a document").when(p["wide"], "widespread tone").when(p["mixed"], "tone regions").otherwise("text")
+    plain = F.when(e["tiles"] > 0, REASONS[4]).otherwise(REASONS[5])
+    return F.when(~e["is_gray"], REASONS[0]).when(~p["prior"], REASONS[1]).when(p["wide"], REASONS[2]).when(p["mixed"], REASONS[3]).otherwise(plain)
 
 
-def caption_rule(n: Column, area: Column, peripheral: Column, most: int = 6, most_area: float = 0.12, least_peripheral: float = 0.6) -> Column:
-    """Whether the text of a page is just captions around a plate: few regions, little area, most of it near the edge."""
-    return (n > 0) & (n <= most) & (area <= most_area) & (peripheral >= least_peripheral)
+def caption_evidence(regions: DataFrame, by: list[str]) -> DataFrame:
+    """Text regions (by, x, y, w, h as shares of the page) of a page: how many, their area, and whether they are just captions.
+
+    They are, when they are few and small, one touches the outer band, and little lies further inside.
+    """
+    middle, area = F.col("y") + F.col("h") / 2, F.greatest(F.lit(0.0), F.col("w")) * F.greatest(F.lit(0.0), F.col("h"))
+    outer = (middle <= CAPTION["band"]) | (middle >= 1 - CAPTION["band"])
+    sums = regions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"), F.count_if(outer).alias("n_outer"), F.coalesce(F.sum(F.when(~outer, area)), F.lit(0.0)).alias("inner_area"))
+    small = (F.col("n") <= CAPTION["regions"]) & (F.col("area") <= CAPTION["area"]) & (F.col("inner_area") <= CAPTION["inner"])
+    return sums.withColumn("is_caption", small & (F.col("n_outer") > 0))
 
 
 def has_cast(r: Column, g: Column, b: Column, threshold: int = 5) -> Column:
@@ -53,19 +65,21 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 
 def tone_table(exposure: float = 0, contrast: float = 0, highlights: float = 0, shadows: float = 0, whites: float = 0, blacks: float = 0) -> list[int]:
-    """256 entries of a tone curve; all settings are from -1 to 1, 0 changes nothing."""
-    def smooth(lo: float, hi: float, x: float) -> float:
-        t = min(1.0, max(0.0, (x - lo) / (hi - lo)))
+    """256 entries of a tone curve: exposure in stops, the rest from -100 to 100; 0 changes nothing, and values are cut, not rounded."""
+    def ramp(lo: float, hi: float) -> np.ndarray:
+        t = np.clip((v - lo) / (hi - lo), 0, 1)
         return t * t * (3 - 2 * t)
 
-    out = []
-    for i in range(256):
-        v = i / 255 * 2.0**exposure
-        v = (v - 0.5) * (1 + contrast) + 0.5
-        v += shadows * 0.4 * (1 - smooth(0, 0.5, v)) + highlights * 0.4 * smooth(0.5, 1, v)
-        v += whites * 0.25 * smooth(0.75, 1, v) + blacks * 0.25 * (1 - smooth(0, 0.25, v))
-        out.append(int(min(1.0, max(0.0, v)) * 255))
-    return out
+    v = np.arange(256) / 255.0
+    v = v * 2.0**exposure
+    if contrast:
+        v = 0.5 + (v - 0.5) * 2.0 ** (contrast / 100 * 1.3)
+    v = v - highlights / 100 * 0.4 * ramp(0.25, 1)
+    v = v + shadows / 100 * 0.4 * (1 - ramp(0, 0.75))
+    white, black = whites / 400, blacks / 400
+    v = v + white * ramp(0.5, 1) * ((1 - v) if white > 0 else v)
+    v = black + v * (1 - black) if black > 0 else np.maximum(0, v + black) / (1 + black)
+    return np.clip(v * 255, 0, 255).astype(int).tolist()
 
 
 def apply_table(value: Column, table: list[int]) -> Column:

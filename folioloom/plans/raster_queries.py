@@ -270,7 +270,7 @@ p as (select *, mid < 0.45::float and ((dark > 0.1::float and light > 0.3::float
 """
 
 
-@query(_EVIDENCE + "select vec_id, case when not is_gray then 'color' when not prior then 'gray' when wide then 'gray' when mixed then 'mixed' else 'bw' end as mode, case when not is_gray then 'chroma' when not prior then 'not a document' when wide then 'widespread tone' when mixed then 'tone regions' else 'text' end as reason from p")
+@query(_EVIDENCE + "select vec_id, case when not is_gray then 'color' when not prior then 'gray' when wide then 'gray' when mixed then 'mixed' else 'bw' end as mode, case when not is_gray then 'global_chroma' when not prior then 'document_prior_absent' when wide then 'widespread_continuous_tone' when mixed then 'localized_continuous_tone_with_document' when tiles > 0 then 'isolated_tone_below_region_minimum' else 'document_without_continuous_tone' end as reason from p")
 def color_class(spark, sf_dir):
     i = F.col("vec_id")
     part = lambda k, m: ((i * k % m) / 100.0).cast("float")
@@ -287,7 +287,18 @@ def white_balance(spark, sf_dir):
     return p.select("img_id", "y", "x", rules.luma(r, g, b).alias("gray"), rules.has_cast(r, g, b, 9).alias("has_cast"), rules.balance(r, F.lit(200.0)).alias("balanced"))
 
 
-_TONES = rules.tone_table(contrast=0.3, shadows=0.2, whites=-0.1)
+@query("""
+with r as (select conv_id as page, (turn % 10) / 10.0 as y, 0.05 as h, (turn % 4 + 1) * 0.04 as w from conversations), m as (select *, y + h / 2 as mid, w * h as area from r),
+s as (select page, count(*) as n, sum(area) as area, count(*) filter (mid <= 0.18 or mid >= 0.82) as n_outer, coalesce(sum(area) filter (not (mid <= 0.18 or mid >= 0.82)), 0) as inner_area from m group by page)
+select page, n, n_outer, round(area, 6)::double as area, n <= 4 and area <= 0.025 and inner_area <= 0.020 and n_outer > 0 as is_caption from s
+""")
+def caption_text(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("page"), F.lit(0.0).alias("x"), ((F.col("turn") % 10) / 10.0).alias("y"), ((F.col("turn") % 4 + 1) * 0.04).alias("w"), F.lit(0.05).alias("h"))
+    return rules.caption_evidence(rows, ["page"]).select("page", "n", "n_outer", F.round("area", 6).alias("area"), "is_caption")
+
+
+_TONES = rules.tone_table(contrast=30, shadows=20, whites=-10)
 
 
 @query(WITH + f"select img_id, y, x, ([{', '.join(map(str, _TONES))}])[v + 1] as v from px")
