@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import attach, stage
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_stutters long"
+NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
 #: Least number of texts for a group's own fences; quartile distances beyond the outer quartiles.
 LEAST, REACH = 200, 4
 #: Of each rate: numerator, denominator, scale, and the slack added to a fence, in scaled units.
 RATES = {
-    "word_length": ("word_chars", "n_words", 1000, 500),
+    "word_length": ("word_chars", "n_words", 1000, 1000),
     "symbols": ("n_symbols", "word_chars", 100000, 5000),
-    "dup_lines": ("n_dup_lines", "n_lines", 100000, 20000),
-    "repeats": ("n_repeat_words", "n_words", 100000, 10000),
+    "dup_lines": ("n_dup_lines", "n_lines", 100000, 50000),
+    "repeats": ("n_repeat_words", "n_words", 100000, 25000),
+    "capitals": ("n_capitals", "word_chars", 100000, 25000),
+    "stutters": ("n_stutters", "n_words", 100000, 15000),
 }
 
 
@@ -44,12 +47,18 @@ class _Words(dict):
 _words = _Words()
 
 
-def repeated_words(words: list[bytes], span: int = SPAN) -> int:
-    """Words that lie in a window of ``span`` words found twice or more in the text."""
-    n = len(words) - span + 1
+_CAPITALS = bytes(range(65, 91))
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def repeated_words(h: np.ndarray, span: int = SPAN) -> int:
+    """Words (as hashes) that lie in a window of ``span`` words found twice or more in the text."""
+    n = len(h) - span + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         x = np.zeros(n, np.uint64)
         for i in range(span):
@@ -61,19 +70,23 @@ def repeated_words(words: list[bytes], span: int = SPAN) -> int:
         return 0
     twice = np.zeros(n, bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    cover = np.zeros(len(words) + 1, np.int64)
+    cover = np.zeros(len(h) + 1, np.int64)
     at = np.flatnonzero(twice)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + span, -1)
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
+def measure(text: str | None) -> tuple[int, ...]:
+    """The counts of a text: words, their characters, symbols, repeated lines, repeated words, lines with a word,
+    ASCII capitals, and words equal to the one before."""
     text = text or ""
-    words = text.encode("utf-8", "replace").split()
+    raw = text.encode("utf-8", "replace")
+    words = raw.split()
+    h = hashes(words)
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\f\r")]
     chars = len(text) - sum(map(text.count, " \t\n\x0b\f\r"))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
+    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(h), len(lines), len(raw) - len(raw.translate(None, _CAPITALS)), int((h[1:] == h[:-1]).sum())
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -83,8 +96,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([measure(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, 6)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(found[:, i]) for i in range(6)]], names=["doc_id", "lang", "source", *[x.split()[0] for x in COUNTS.split(", ")]])
+            found = np.array([measure(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, len(NAMES))
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(found[:, i]) for i in range(len(NAMES))]], names=["doc_id", "lang", "source", *NAMES])
 
     kinds = dict(some.dtypes)
     return some.mapInArrow(of, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, source {kinds['source']}, {COUNTS}")

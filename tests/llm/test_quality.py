@@ -17,12 +17,13 @@ def brute(text):
         if windows[tuple(words[i : i + 8])] > 1:
             covered.update(range(i, i + 8))
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(lines)
+    capitals, stutters = len(re.findall("[A-Z]", text)), sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(lines), capitals, stutters
 
 
 def test_counts():
     rng = random.Random(0)
-    texts = ["", None, "a", "a\nb\na\n \na", "x\u00a0y z\x1cq", "é 🙂 ###", " ".join("ab" * 20), "one two " * 9]
+    texts = ["", None, "a", "a\nb\na\n \na", "x\u00a0y z\x1cq", "é 🙂 ###", " ".join("ab" * 20), "A b B B É É", "one two " * 9]
     texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(200)]
     for t in texts:
         assert Q.measure(t) == brute(t)
