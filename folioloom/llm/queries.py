@@ -107,13 +107,71 @@ select doc_id, size, f.source_size, target, cast(size * (passes + case when h <
 from d join f on d.source is not distinct from f.source left join c on d.source is not distinct from c.source
 """
 
-OP8 = """
-with d as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, coalesce(text, '') as t from documents),
-r as (select *, sum(size) over (order by doc_id nulls last rows unbounded preceding) as upto, sum(size) over () as total, row_number() over (order by doc_id nulls last) as nr from d),
-p as (select *, cast(least(7, (upto * 2 - size) * 8 // (2 * total)) as int) as shard from r)
-select doc_id, size, 'bytes' as law, shard, cast(row_number() over (partition by shard order by nr) - 1 as bigint) as slot, cast(null as int) as grown_shard from p
+#: Rates of op3 as in ``quality.RATES``, on the counts' names in the SQL.
+_RATES = ", ".join(f"('{k}', case when {bottom} > 0 then {top} * {scale} // {bottom} else 0 end)" for k, (top, bottom, scale, _) in quality.RATES.items())
+_SLACK = "case rate " + " ".join(f"when '{k}' then {v[3]}" for k, v in quality.RATES.items()) + " end"
+
+
+def _fences(name: str, keys: str) -> str:
+    by = f"{keys}, " if keys else ""
+    return f"""{name}_m as (select {by}rate, bin, sum(n) as n from sketch group by {by}rate, bin),
+{name}_r as (select *, sum(n) over (partition by {by}rate order by bin) as upto, sum(n) over (partition by {by}rate) as texts from {name}_m),
+{name}_q as (select {by}rate, min(bin) filter (upto * 4 >= texts) as b1, min(bin) filter (upto * 4 >= texts * 3) as b3 from {name}_r group by {by}rate having max(texts) >= {quality.LEAST}),
+{name}_t as (select *, case when b1 < 32 then b1 else ((b1 % 16 + 17)::bigint << (b1 // 16 - 1)) - 1 end as q1, case when b3 < 32 then b3 else ((b3 % 16 + 17)::bigint << (b3 // 16 - 1)) - 1 end as q3 from {name}_q),
+{name} as (select {by}rate, q1 - ({quality.REACH} * (q3 - q1) + {_SLACK}) as low, q3 + ({quality.REACH} * (q3 - q1) + {_SLACK}) as high from {name}_t)"""
+
+
+OP3 = f"""
+with d as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+rep as (select doc_id, count(distinct i + k) as n from twice cross join range(8) r(k) group by doc_id),
+line as (select doc_id, l from (select doc_id, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+dup as (select doc_id, count(*) as lines, count(*) - count(distinct l) as dups from line group by doc_id),
+c as (select doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(dups, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(lines, 0)::bigint as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_capitals,
+  coalesce(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])), 0)::bigint as n_stutters from d left join rep using (doc_id) left join dup using (doc_id)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
+v as (select f.*, r.rate, r.value::bigint as value from f, lateral (values {_RATES}) r(rate, value)),
+b as (select *, greatest(length(bin(value)) - 5, 0) as up from v),
+sketch as (select lang, source, rate, up * 16 + (value >> up) as bin, count(*) as n from b where not base_failed group by all),
+{_fences("g1", "lang, source")}, {_fences("g2", "lang")}, {_fences("g3", "")},
+o as (select v.doc_id, bool_or(coalesce(value > coalesce(g1.high, g2.high, g3.high), false) or (v.rate = 'word_length' and coalesce(value < coalesce(g1.low, g2.low, g3.low), false))) as off
+  from v left join g1 on g1.lang is not distinct from v.lang and g1.source is not distinct from v.source and g1.rate = v.rate
+  left join g2 on g2.lang is not distinct from v.lang and g2.rate = v.rate left join g3 on g3.rate = v.rate group by v.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not off as kept from f join o using (doc_id)
+"""
+
+OP5 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on l.a = r.reach),
+k as (select doc_id, min(reach) as component_id from r group by doc_id),
+h as (select doc_id, md5(string_agg(g, '|' order by g)) as h from s group by doc_id), e as (select doc_id, min(doc_id) over (partition by h) as class_id from h)
+select k.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(class_id, k.doc_id) as class_id, component_id from k left join n using (doc_id) left join e using (doc_id)
+"""
+
+_MOMENTS = "case when sum({m} * (1 - {m}) * ({n} - 1)) > 0 then round(least(1000.0, greatest(2.0, 1 / greatest((sum({n} * ({b} / {n}::double - {m}) * ({b} / {n}::double - {m})) - sum({m} * (1 - {m}))) / greatest(sum({m} * (1 - {m}) * {n}) - sum({m} * (1 - {m})), 1e-9), 1e-9) - 1)), 6) else 1000.0 end"
+
+OP9 = rf"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+w as (select doc_id as page_id, max(greatest(toxic, 1 - quality)) as bad from labels group by doc_id),
+h as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix, count(*) as n, sum(bad) as bad from p join w using (page_id) where host <> '' group by all),
+d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all), s as (select suffix, sum(n) as n, sum(bad) as bad from d group by all),
+g as (select (sum(bad) + 0.5) / (sum(n) + 1.0) as m from s),
+ks as (select {_MOMENTS.format(n="n", b="bad", m="m")} as k from s, g), sm as (select suffix, (bad + k * m) / (n + k) as m from s, g, ks),
+kd as (select {_MOMENTS.format(n="d.n", b="d.bad", m="sm.m")} as k from d join sm using (suffix)), dm as (select domain, (bad + k * m) / (n + k) as m from d join sm using (suffix), kd),
+kh as (select {_MOMENTS.format(n="h.n", b="h.bad", m="dm.m")} as k from h join dm using (domain)),
+hm as (select host, (bad + k * m) / (n + k) as r, n + k as t from h join dm using (domain), kh), o as (select host, r, r - 1.645 * sqrt(r * (1 - r) / (t + 1)) as low from hm),
+f as (select *, '.' || host as dotted from p left join o using (host)),
+x as (select *, case when host = 'example.org' or ends_with(dotted, '.example.org') then case when starts_with(path, '/es/') then 'example.org/es/' when starts_with(path, '/en/1') then 'example.org/en/1' end end as deep from f),
+y as (select *, coalesce(deep, case when ends_with(dotted, '.com') and starts_with(path, '/fr/') then 'com/fr/' when ends_with(dotted, '.com') and starts_with(path, '/de/') then 'com/de/' when ends_with(dotted, '.org') and starts_with(path, '/') then 'org/' end) as rule from x)
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when low > 0.5 then 'block' else 'allow' end as verdict, round(r, 6) as bad_rate, round(low, 6) as bad_rate_lower from y
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op7_mixing": OP7}
+    return {"op1_exact_dedup": OP1, "op3_quality": OP3, "op5_jaccard_join": OP5, "op7_mixing": OP7, "op9_url_filter": OP9}
