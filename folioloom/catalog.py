@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import layout_queries, page_queries, raster_queries, stream_queries, text_queries  # noqa: F401  they register
+from .plans import layout_queries, page_queries, raster_queries, region_queries, stream_queries, text_queries  # noqa: F401  they register
 from .plans.registry import QUERIES, SQL, Query
 
 

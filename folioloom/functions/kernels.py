@@ -1022,3 +1022,60 @@ def tone_evidence(rgb: np.ndarray) -> dict:
         "is_gray": not colored, "dark": float((flat < 80).mean()), "mid": float(((flat >= 80) & (flat < 130)).mean()), "light": float((flat >= 130).mean()),
         "coverage": float((cover > 0).mean()), "largest": float((cover == largest).mean()) if n else 0.0, "tiles": int(tone.sum()), "region_tiles": int(size.max()) if n else 0,
     }
+
+
+def neutral_pixels(rgb: np.ndarray, n: int = 5000, seed: int = 0) -> tuple[int, int, int] | None:
+    """Median of bright pixels of little saturation among ``n`` drawn with a fixed seed; none with fewer than ten."""
+    px = rgb.reshape(-1, 3)
+    px = px[np.random.default_rng(seed).integers(0, len(px), min(n, len(px)))].astype(int)
+    px = px[(px.min(1) >= 150) & (px.max(1) - px.min(1) <= 40)]
+    return tuple(map(int, np.median(px, 0))) if len(px) >= 10 else None
+
+
+def margin_color(rgb: np.ndarray, band: float = 0.05, spread: float = 12.0) -> tuple[int, int, int] | None:
+    """Mean colour of the even blocks along the edges; none if they all vary."""
+    h, w = rgb.shape[:2]
+    size = max(2, int(min(h, w) * band))
+    blocks = [rgb[y : y + size, x : x + size] for x in range(0, w - size + 1, size) for y in (0, h - size)] + [rgb[y : y + size, x : x + size] for y in range(0, h - size + 1, size) for x in (0, w - size)]
+    even = [b.reshape(-1, 3).mean(0) for b in blocks if b.reshape(-1, 3).std(0).max() <= spread]
+    return tuple(int(v + 0.5) for v in np.median(even, 0)) if even else None
+
+
+def paper_of(rgb: np.ndarray) -> tuple[int, int, int] | None:
+    """The paper's colour: from the margins, else from neutral pixels, else from the brightest."""
+    return margin_color(rgb) or neutral_pixels(rgb) or paper_color(rgb)
+
+
+def has_cast(color: tuple[int, int, int], threshold: int = 5) -> bool:
+    mean = sum(color) // 3
+    return max(abs(c - mean) for c in color) >= threshold
+
+
+def compensated_evidence(rgb: np.ndarray) -> dict:
+    """Tone evidence; of a tinted page once more with the paper's tint taken out, if that makes it gray."""
+    found = tone_evidence(rgb)
+    paper = paper_of(rgb) if rgb.ndim == 3 and not found["is_gray"] else None
+    if paper and has_cast(paper):
+        again = tone_evidence(white_balance(rgb, paper))
+        return again if again["is_gray"] else found
+    return found
+
+
+def auto_tones(rgb: np.ndarray) -> dict[str, float]:
+    """Settings of the tone curve that bring the darkest and lightest half percent to the ends."""
+    y = (rgb.astype(int) * (299, 587, 114)).sum(-1) // 1000 if rgb.ndim == 3 else rgb.astype(int)
+    upto, clip = np.cumsum(np.bincount(y.ravel(), minlength=256)), y.size // 200
+    low, high = int(np.searchsorted(upto, clip + 1)), int(np.searchsorted(upto, y.size - clip))
+    return {"exposure": float(np.log2(255 / max(1, high))), "blacks": -min(100.0, 400.0 * low / 255)}
+
+
+def spread_geometry(g: np.ndarray, light: int = 200, even: float = 12.0) -> dict[str, float]:
+    """The longest run of light, even columns, and how much the columns beside it vary: a gutter between two plates."""
+    mean, std = g.mean(0), g.std(0)
+    flag = np.concatenate([[0], ((mean >= light) & (std <= even)).astype(int), [0]])
+    first, last = np.flatnonzero(np.diff(flag) == 1), np.flatnonzero(np.diff(flag) == -1)
+    if not len(first):
+        return {"b": 0, "e": 0, "left": float(std.mean()), "right": float(std.mean())}
+    k = int((last - first).argmax())
+    b, e = int(first[k]), int(last[k])
+    return {"b": b, "e": e, "left": float(std[:b].mean()) if b else 0.0, "right": float(std[e:].mean()) if e < g.shape[1] else 0.0}

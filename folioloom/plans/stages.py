@@ -130,7 +130,7 @@ def detect_pages(images: DataFrame, pages: DataFrame) -> DataFrame:
         return [{
             **row, "angle": angle if sure >= 2 else 0.0, "angle_confidence": sure, "page_x": px0, "page_y": py0, "page_w": px1 - px0, "page_h": py1 - py0,
             "x": px0 + x0 if box else None, "y": py0 + y0 if box else None, "cw": x1 - x0 if box else None, "ch": y1 - y0 if box else None,
-            "mm_w": (x1 - x0) * MM / dpi if box else None, "mm_h": (y1 - y0) * MM / (row["dpi_y"] or dpi) if box else None, **K.tone_evidence(part), "detector": VERSIONS["content"],
+            "mm_w": (x1 - x0) * MM / dpi if box else None, "mm_h": (y1 - y0) * MM / (row["dpi_y"] or dpi) if box else None, **K.compensated_evidence(part), "detector": VERSIONS["content"],
         }]
 
     joined = pages.select("project", "image_id", "sub", "cut", "rotation").join(images.drop("rotation"), ["project", "image_id"])
@@ -191,7 +191,7 @@ def render(images: DataFrame, plan: DataFrame, method: str = "sauvola", despeckl
 
     def one(row: dict, a: np.ndarray) -> list[dict]:
         part = np.ascontiguousarray(crop(a, row))
-        if balance and part.ndim == 3 and (paper := K.paper_color(part)):
+        if balance and part.ndim == 3 and (paper := K.paper_of(part)):
             part = K.white_balance(part, paper)
         if row["angle"]:
             c, s = np.cos(np.radians(row["angle"])), np.sin(np.radians(row["angle"]))

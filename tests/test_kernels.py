@@ -173,3 +173,16 @@ def test_despeckle():
 def test_plates():
     assert not K.is_plate(np.full((60, 60), 255, np.uint8))[0]
     assert K.is_plate(RNG.integers(20, 236, (120, 120)).astype(np.uint8))[0]
+
+
+def test_paper_and_tones():
+    page = np.full((100, 120, 3), (240, 220, 190), np.uint8)
+    page[30:60, 30:90] = 20
+    assert K.margin_color(page) == (240, 220, 190) and K.has_cast(K.paper_of(page))
+    assert (K.white_balance(page, (240, 220, 190))[0, 0] >= 244).all()
+    assert K.compensated_evidence(page)["is_gray"]
+    assert K.auto_tones(np.full((20, 20), 100, np.uint8))["exposure"] > 1
+    g = RNG.integers(0, 256, (50, 90)).astype(np.uint8)
+    g[:, 40:52] = 250
+    found = K.spread_geometry(g)
+    assert (found["b"], found["e"]) == (40, 52) and min(found["left"], found["right"]) > 50

@@ -123,3 +123,28 @@ def test_sidecar_and_metrics(spark, tmp_path):
 
 def test_snapped_dpi():
     assert [P.snapped_dpi(x) for x in (100, 351, 500, 501)] == [300, 400, 400, 600]
+
+
+def test_pdf(spark, tmp_path):
+    from folioloom.sources import pdf
+
+    rows = [("book", i, 31, 19, 1, bytearray(GRAY.tobytes()), 300, [("Hi (you)", 1.0, 2.0, 10.0, 5.0)]) for i in (1, 0)] + [("other", 0, 31, 19, 3, bytearray(RGB.tobytes()), 600, None)]
+    kind = "project string, pos int, w int, h int, channels int, px binary, dpi int, words array<struct<text:string,x:double,y:double,w:double,h:double>>"
+    got = {r.project: r for r in pdf.export(spark.createDataFrame(rows, kind), f"file://{tmp_path}").collect()}
+    assert {k: r.pages for k, r in got.items()} == {"book": 2, "other": 1}
+    data = (tmp_path / "book.pdf").read_bytes()
+    assert data.startswith(b"%PDF-") and data.endswith(b"%%EOF\n")
+    start = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
+    table = data[start:].split(b"\n")
+    for i, line in enumerate(table[3 : 3 + int(table[1].split()[1]) - 1], 1):
+        assert data[int(line[:10]) :].startswith(b"%d 0 obj" % i)
+    assert [r[3:5] for r in P.rows_of("f", data)] == [(7, 5), (7, 5)]
+    assert {p.name for p in tmp_path.iterdir()} == {"book.pdf", "other.pdf"}
+
+
+def test_thumbnails(spark):
+    from folioloom.sources import pdf
+
+    df = spark.createDataFrame([("p", 31, 19, 1, bytearray(GRAY.tobytes())), ("q", 1, 1, 1, None)], "path string, w int, h int, channels int, px binary")
+    (r,) = pdf.thumbnails(df, 10).collect()
+    assert (r.w, r.h, len(r.px)) == (10, 6, 60) and r.key.endswith("-10-1")
