@@ -5,12 +5,12 @@
 2. A second pass makes of each text its set's size, signature, prefix (the first shingles in that order;
    two sets over the threshold share one) and the sizes of its classes under a hash (for the suffix filter).
    Equal sets become one class, represented by its smallest id.
-3. Prefix shingles are joined in two rounds. In the first, each shingle's documents, ordered by size, are
+3. Prefix shingles are joined in rounds. In the first, each shingle's documents, ordered by size, are
    paired with a leader and with their neighbour only. Pairs that pass the length, positional and suffix
-   filters are verified on the whole sets and give components. In the second, the documents of a shingle
-   that are still in different components are paired, all of them but for those within a component: such
-   links change nothing. So a group of thousands of near copies costs a few pairs a document, and no link
-   between components is lost.
+   filters are verified on the whole sets and give components. In two more, documents of a shingle that are
+   still in different components are paired with a neighbour in an order drawn by chance. In the last, all
+   those still in different components are paired; links within a component change nothing. So a group of
+   thousands of near copies costs a few pairs a document, and no link between components is lost.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -30,6 +30,8 @@ from .common import WORD, attach, by_group, drop_staged, stage
 
 #: Hash buckets for shingle frequencies (16 MB as broadcast, whatever the input), the pieces they are summed in, and the largest count.
 BUCKETS, PIECES, MOST = 1 << 22, 64, (1 << 32) - 1
+#: Rounds of pairs drawn by chance before all pairs between components: they join up dense groups.
+ROUNDS = 2
 #: Hash classes of the suffix filter, a bit for each: 128 bytes a document.
 CLASSES = 1024
 LONGS = CLASSES // 64
@@ -192,16 +194,28 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(me, other).alias("a"), F.greatest(me, other).alias("b")).filter("a < b").distinct()
 
 
-def cross_pairs(prefixes: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each shingle's rows that are in different components and pass all filters.
-
-    ``component`` (id, root) has the nodes that have links. Of a shingle's components the one with most
-    rows is joined only with the rest, so a large component costs its rows times those outside it. All
-    filters are conditions of the join: pairs that fail one never become rows.
-    """
+def mixed_rows(prefixes: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of shingles whose rows are in several components, with their ``root``; ``component`` (id, root) has the nodes that have links."""
     rows = prefixes.select("token", "id", "size", "at").join(component, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    rows = stage(rows.join(mixed, "token"), "join-mixed")
+    return stage(rows.join(mixed, "token"), "join-mixed")
+
+
+def chance_pairs(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Of mixed rows each with the one before it in an order drawn for each shingle, if that is in another component."""
+    by = W.partitionBy("token").orderBy(F.xxhash64("token", "id", F.lit(seed)), "id")
+    me = F.struct("id", "size", "at", "root")
+    near = rows.select(me.alias("me"), F.lag(me).over(by).alias("other")).filter(F.col("me.root") != F.col("other.root"))
+    return _ordered(near.filter(_possible("me", "other", percent)))
+
+
+def cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of each shingle's mixed rows that are in different components and pass all filters.
+
+    Of a shingle's components the one with most rows is joined only with the rest, so a large component
+    costs its rows times those outside it. All filters are conditions of the join: pairs that fail one
+    never become rows.
+    """
     per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("_m")).select("token", F.col("_m.root").alias("major"))
     rows = rows.join(nodes.select("id", "parity"), "id").join(per, "token")
     rows = stage(rows.select("token", "root", "id", "size", "at", "parity", (F.col("root") == F.col("major")).alias("big")), "join-marked")
@@ -270,21 +284,32 @@ def components(links: DataFrame) -> DataFrame:
         after = stage(small, "cc-small")
         drop_staged(edges, large)
         edges = after
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        if edges.join(roots, "u", "left_semi").isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
+        # done when no node has two roots, and no root has one: sums by node of 1 for each root it has, and 2^20 for being one
+        is_root = edges.select(F.col("v").alias("u")).distinct().withColumn("k", F.lit(1 << 20))
+        states = edges.select("u", F.lit(1).alias("k")).unionByName(is_root).groupBy("u").agg(F.sum("k").alias("k"))
+        if states.filter(~F.col("k").isin(1, 1 << 20)).isEmpty():
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def link_all(texts: DataFrame, nodes: DataFrame, prefixes: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, root) of all nodes that have links."""
-    first = stage(suffix_filter(first_pairs(prefixes, percent), nodes, percent), "join-first")
-    near = components(verify(first, texts, words, percent))
-    rest = stage(cross_pairs(prefixes, nodes, near, percent).join(first, ["a", "b"], "left_anti"), "join-rest")
-    if rest.isEmpty():
-        return near
-    more = verify(rest, texts, words, percent)
-    return components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    tried = stage(suffix_filter(first_pairs(prefixes, percent), nodes, percent), "join-first")
+    near = components(verify(tried, texts, words, percent))
+    for seed in range(ROUNDS + 1):
+        rows = mixed_rows(prefixes, near)
+        if rows.isEmpty():
+            break
+        last = seed == ROUNDS
+        some = cross_pairs(rows, nodes, percent) if last else suffix_filter(chance_pairs(rows, percent, seed), nodes, percent)
+        pairs = stage(some.join(tried, ["a", "b"], "left_anti"), "join-pairs")  # each pair is verified once
+        drop_staged(rows)
+        if pairs.isEmpty():
+            continue
+        more = verify(pairs, texts, words, percent)
+        near = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+        tried = tried.unionByName(pairs)
+    return near
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -308,10 +333,11 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     drop_staged(sets)
     found = link_all(texts, nodes, prefixes, words, percent)
     reps = nodes.select("sign", "size", "n", F.col("id").alias("rep"))
-    marked = stage(by_group(real.select("id", "sign", "size"), reps, ["sign", "size"]), "join-marked")
-    several = marked.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps")).filter("lo < hi")
-    same = stage(several.select(F.col("lo").alias("a"), F.explode("reps").alias("b")).filter("a < b"), "join-same")
-    if not same.isEmpty():
+    twice = real.groupBy("id").count().filter("count > 1").select("id")
+    if not twice.isEmpty():  # rows that share an id but not a text
+        marked = real.join(twice, "id", "left_semi").join(reps, ["sign", "size"])
+        several = marked.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps")).filter("lo < hi")
+        same = several.select(F.col("lo").alias("a"), F.explode("reps").alias("b")).filter("a < b")
         found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same))
     roots = reps.join(found, reps["rep"] == found["id"], "left").select("sign", "size", "n", "rep", F.coalesce("root", "rep").alias("root"))
     out = by_group(rows.select("id", "size", "sign").filter("size > 0 and id is not null"), roots, ["sign", "size"])
