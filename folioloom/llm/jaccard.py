@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, by_group, drop_staged, stage
 
-#: Hash buckets for shingle frequencies (16 MB as broadcast, whatever the input), the pieces they are summed in, and the largest count.
-BUCKETS, PIECES, MOST = 1 << 22, 64, (1 << 32) - 1
+#: Hash buckets for shingle frequencies (16 MB as broadcast, whatever the input), and the largest count.
+BUCKETS, MOST = 1 << 22, (1 << 32) - 1
 #: Rounds of pairs drawn by chance before all pairs between components: they join up dense groups.
 ROUNDS = 2
 #: Hash classes of the suffix filter, a bit for each: 128 bytes a document.
@@ -83,7 +83,9 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     Each task counts into a table of its own, and hands it on in pieces; tasks that sum up pieces read
     them one by one, so none holds more than its part of the table.
     """
-    piece = BUCKETS // PIECES
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = 1 << min(10, max(2, partitions.bit_length()))
+    piece = BUCKETS // pieces
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, waiting = np.zeros(BUCKETS, np.uint32), [], 0
@@ -96,7 +98,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
                 held, waiting = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
-        for i in range(PIECES):
+        for i in range(pieces):
             yield pa.record_batch({"piece": pa.array([i], pa.int32()), "counts": pa.array([total[i * piece : (i + 1) * piece].tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
             yield pa.record_batch({"piece": pa.array([i], pa.int32()), "counts": pa.array([np.minimum(own, MOST).astype(np.uint32).tobytes()], pa.binary())})
 
     kind = "piece int, counts binary"
-    rows = texts.select("text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()  # the table, PIECES rows
+    rows = texts.select("text").mapInArrow(count, kind).repartition(pieces, "piece").mapInArrow(add, kind).collect()  # the table, a row for each piece
     out = np.zeros(BUCKETS, np.uint32)
     for r in rows:
         out[r.piece * piece : (r.piece + 1) * piece] = np.frombuffer(r.counts, np.uint32)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Fixed values: (action, host, start of the path).
 RULES = (
     ("allow", "org", "/"),
@@ -88,7 +90,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = 0
     seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     worst = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     outcomes = seen.join(worst, "page_id").filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    known = reputation(outcomes).select("host", "n", "mean", "lower")
+    known = reputation(stage(outcomes, "url-hosts")).select("host", "n", "mean", "lower")  # a row for each host; read for each prior
     fit = rule_of(F.col("host"), F.col("path"), rules)
     joined = seen.join(known, "host", "left").withColumn("_fit", fit)
     at = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("_fit") + 1)
