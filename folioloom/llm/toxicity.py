@@ -172,12 +172,15 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], rarity: flo
     model.embedding[0] = 0
     held = np.arange(len(y)) % 4 == 3
     train = np.flatnonzero(~held)
+    whole = [h[:, 0].copy() for h in hashed]
+    for i in range(len(hashed)):  # in place: the sample is held once
+        hashed[i] = row[hashed[i]]
     if len(y) and 0 < y[train].sum() < len(train):
-        _descend(model, [row[h] for h in hashed], y, train, rng)
+        _descend(model, hashed, y, train, rng)
     else:
         model.weight[:] = 0
         model.offset = -5.0 if not y.sum() else 5.0
-    _learn_languages(model, [h[:, 0] for h in hashed], langs)
+    _learn_languages(model, whole, langs)
     _calibrate(model, [t for t, k in zip(texts, held, strict=True) if k], y[held], rarity)
     return model
 
