@@ -11,6 +11,8 @@
    still in different components are paired with a neighbour in an order drawn by chance. In the last, all
    those still in different components are paired; links within a component change nothing. So a group of
    thousands of near copies costs a few pairs a document, and no link between components is lost.
+4. Where links are to be counted, all pairs of classes of a component are compared (links never leave one),
+   each pair once, in blocks of a bounded number of sets.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -35,6 +37,8 @@ ROUNDS = 2
 #: Hash classes of the suffix filter, a bit for each: 128 bytes a document.
 CLASSES = 1024
 LONGS = CLASSES // 64
+#: Classes of a component that a block has, about: a worker holds the sets of two blocks.
+BLOCK = 256
 #: Word hashes a worker keeps.
 CACHE = 250_000
 
@@ -314,9 +318,73 @@ def link_all(texts: DataFrame, nodes: DataFrame, prefixes: DataFrame, words: int
     return near
 
 
-def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+def count_block(ids: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> dict[int, int]:
+    """Links by id among the sets of a block (all on side 0), or between two blocks (sides 0 and 1)."""
+    own = [i for i, s in enumerate(sets) if len(s)]
+    if len(own) < 2:
+        return {}
+    ids, sides, sets = np.array(ids)[own], np.array(sides)[own], [sets[i] for i in own]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    two, found = sides.any(), set()
+    mark = np.zeros(len(known), np.int64)
+    for i in np.flatnonzero(sides == 0) if two else range(len(sets)):
+        mine = at[starts[i] : starts[i + 1]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[at], starts[:-1])
+        mark[mine] = 0
+        close = (100 * common >= percent * (sizes + sizes[i] - common)) & ((sides == 1) if two else (np.arange(len(sets)) > i))
+        found |= {(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in np.flatnonzero(close) if ids[i] != ids[j]}
+    out: dict[int, int] = {}
+    for pair in found:
+        for x in pair:
+            out[int(x)] = out.get(int(x), 0) + 1
+    return out
+
+
+def count_links(found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n_links) of the nodes of ``found`` (id, root): with how many others of its component each is linked.
+
+    A component's nodes are dealt to blocks of about BLOCK, and a cell is a block, or two of them. So each
+    pair meets in one cell, a text is read as often as its component has blocks, and only counts leave a cell.
+    """
+    blocks = found.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("k"))
+    some = _with_texts(found.select(F.col("id").alias("a"), F.col("root").alias("b")), texts).distinct()
+    rows = some.join(found, "id").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    met = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = met.select("root", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), (F.col("block") > F.col("met")).cast("int").alias("side"), "id", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, ([], [], [])
+
+        def done() -> pa.RecordBatch:
+            links = count_block(*held, percent)
+            return pa.record_batch({"id": pa.array(list(links), pa.int64()), "n_links": pa.array(list(links.values()), pa.int64())})
+
+        for batch in batches:
+            ready = []
+            for root, i, j, *row in zip(*[batch.column(k).to_pylist() for k in ("root", "i", "j", "id", "side", "text")], strict=True):
+                if cell != (root, i, j):
+                    if held[0]:
+                        ready.append(done())
+                    cell, held = (root, i, j), ([], [], [])
+                for column, x in zip(held, (row[0], row[1], shingle_set(row[2], n)), strict=True):
+                    column.append(x)
+            if ready:
+                yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0] if sum(map(len, ready)) else ready[0]
+        if held[0]:
+            yield done()
+
+    dealt = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
+def join(docs: DataFrame, words: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id.
 
+    With ``links`` also n_links: with how many other classes the row's class is linked, all of them counted.
+
     Texts are compared by their sets of distinct ``words``-word shingles, ASCII letters in lower case.
     ``class_id`` is the smallest id with an equal set, ``component_id`` the smallest reachable by links.
     Texts without words, and null ones, have an empty set and are linked with nothing: both are their own
@@ -334,6 +402,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     prefixes = stage(shared_tokens(once.select("id", "size", F.posexplode("prefix").alias("at", "token"))), "join-prefixes")
     drop_staged(sets)
     found = link_all(texts, nodes, prefixes, words, percent)
+    counts = stage(count_links(found, texts, words, percent), "join-counts") if links else None
     reps = nodes.select("sign", "size", "n", F.col("id").alias("rep"))
     twice = real.groupBy("id").count().filter("count > 1").select("id")
     if not twice.isEmpty():  # rows that share an id but not a text
@@ -342,10 +411,13 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         same = several.select(F.col("lo").alias("a"), F.explode("reps").alias("b")).filter("a < b")
         found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same))
     roots = reps.join(found, reps["rep"] == found["id"], "left").select("sign", "size", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    if links:
+        roots = roots.join(counts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    more = ["n_links"] if links else []
     out = by_group(rows.select("id", "size", "sign").filter("size > 0 and id is not null"), roots, ["sign", "size"])
-    alone = rows.filter("size = 0 or id is null").select("id", "size", F.col("id").alias("rep"), F.col("id").alias("root"))
-    every = out.select("id", "size", "rep", "root").unionByName(alone)
-    return every.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("root").alias("component_id"))
+    alone = rows.filter("size = 0 or id is null").select("id", "size", F.col("id").alias("rep"), F.col("id").alias("root"), *[F.lit(0).cast("long").alias(k) for k in more])
+    every = out.select("id", "size", "rep", "root", *more).unionByName(alone)
+    return every.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("root").alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

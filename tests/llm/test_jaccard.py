@@ -128,3 +128,22 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(brute(list(enumerate(texts)), 3, 90).values()))
     assert J.keep_one(odd(spark), 3, 90).count() > 0
     assert J.keep_one(empty(spark)).count() == 0
+
+
+def brute_links(texts, n, percent):
+    """Of each text with how many other sets its set is linked."""
+    sets = {shingles(t, n) for t in texts} - {frozenset()}
+    linked = {s: sum(s != t and 100 * len(s & t) >= percent * len(s | t) for t in sets) for s in sets}
+    return [linked.get(shingles(t, n), 0) for t in texts]
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)  # many blocks
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(60)] + [" ".join(base)] * 3 + corpus(6, 80) + ["", None]
+    want = brute_links(texts, 3, 90)
+    got = {r.doc_id: r for r in J.join(docs(spark, texts), 3, 90, links=True).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == want
+    assert min(want[:63]) == 60  # a dense group has all its pairs
+    assert {r.n_links for r in J.join(odd(spark), 3, 90, links=True).collect()} == {0}
+    assert J.join(empty(spark), links=True).count() == 0
