@@ -4,7 +4,8 @@ Labelled pages give each host, registered domain and suffix a count of bad and o
 counts are pre-aggregated, so one hot host is one row. Rates are shrunk downwards: the corpus gives the
 prior of a suffix, the suffix that of a registered domain, the domain that of a host, each as a beta
 prior with a fitted strength. A page is blocked when the lower bound of its host's posterior is over the
-threshold. Only DataFrame functions.
+threshold; that of a host without labelled pages is the prior that its domain, suffix or the corpus gives.
+Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -49,11 +50,13 @@ def levels(host: Column) -> tuple[Column, Column]:
 def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
     """``outcomes`` (host, n, bad) by host with the posterior mean and lower bound of the bad rate.
 
+    Hosts of which n is 0 teach nothing; theirs is the prior of the nearest level with outcomes.
     The strength of each prior is fitted by moments from how the children's rates vary around their
     parent's, weighted by n, and kept between ``least`` and ``most``. Only sums reach the driver.
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.withColumns({"domain": domain, "suffix": suffix})
+    every = outcomes.withColumns({"domain": domain, "suffix": suffix})
+    hosts, unseen = every.filter("n > 0"), every.filter("n = 0")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     n, bad = suffixes.agg(F.sum("sn"), F.sum("sb")).first()
@@ -76,20 +79,25 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0, z:
     domains = domains.withColumn("dm", (F.col("db") + d * F.col("sm")) / (F.col("dn") + d))
     hosts = hosts.join(domains.select("domain", "dm"), "domain")
     h = strength(hosts, "n", "bad", F.col("dm"))
-    a, b = F.col("bad") + h * F.col("dm"), F.col("n") - F.col("bad") + h * (1 - F.col("dm"))
+    # a prior's mean comes with the strength that it has for the level below it
+    unseen = unseen.join(domains.select("domain", "dm"), "domain", "left").join(suffixes.select("suffix", "sm"), "suffix", "left")
+    unseen = unseen.withColumn("k", F.when(F.col("dm").isNotNull(), h).when(F.col("sm").isNotNull(), d).otherwise(s))
+    unseen = unseen.withColumn("dm", F.coalesce("dm", "sm", F.lit(rate)))
+    hosts = hosts.withColumn("k", F.lit(h)).select("host", "n", "bad", "dm", "k").unionByName(unseen.select("host", "n", "bad", "dm", "k"))
+    a, b = F.col("bad") + F.col("k") * F.col("dm"), F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("dm"))
     mean = a / (a + b)
     return hosts.select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """Every page with host, path, rule, verdict, and the posterior mean and lower bound of its host.
+    """Every page with host, path, rule, verdict, and the posterior mean and lower bound of its host (null without labelled pages of its own).
 
     ``labels`` (page_id, bad 0/1). A null url, or one without ``://``, has an empty host and path; an
-    empty host, and one without labelled pages, is allowed, as its prior alone proves nothing. Rows of pages that repeat stay; several labels of an id count as one, the worst. Empty tables give no rows.
+    empty host is allowed. A host without labelled pages is judged by the prior of its nearest level. Rows of pages that repeat stay; several labels of an id count as one, the worst. Empty tables give no rows.
     """
     seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     worst = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    outcomes = seen.join(worst, "page_id").filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    outcomes = seen.join(worst, "page_id", "left").filter("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     known = reputation(stage(outcomes, "url-hosts")).select("host", "n", "mean", "lower")  # a row for each host; read for each prior
     fit = rule_of(F.col("host"), F.col("path"), rules)
     joined = seen.join(known, "host", "left").withColumn("_fit", fit)
@@ -97,4 +105,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = 0
     own = F.when(F.col("lower") > threshold, F.lit("block")).otherwise("allow")
     rule = F.when(F.col("_fit").isNotNull(), at([h + p for _, h, p in rules]))
     verdict = F.when(F.col("_fit").isNotNull(), at([a for a, _, _ in rules])).otherwise(own)
-    return joined.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("bad_rate"), F.round("lower", 6).alias("bad_rate_lower"))
+    return joined.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.when(F.col("n") > 0, F.round("mean", 6)).alias("bad_rate"), F.when(F.col("n") > 0, F.round("lower", 6)).alias("bad_rate_lower"))

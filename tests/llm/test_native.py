@@ -138,5 +138,15 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rate["new.spam.net"] - low["new.spam.net"] > rate["bad.spam.net"] - low["bad.spam.net"]
 
 
+def test_unlabelled_hosts_are_judged_by_their_domain(spark):
+    hosts = [f"{h}.{d}" for d in ("spam.net", "fine.net") for h in "abcdef"]
+    rows = [(i, f"http://{hosts[i % 12]}/p") for i in range(600)]
+    labels = [(i, int("spam" in url and i % 40 != 0)) for i, url in rows]
+    rows += [(1000, "http://new.spam.net/p"), (1001, "http://new.fine.net/p"), (1002, "http://new.other.net/p"), (1003, "http://new.other.xyz/p")]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert [got[i].verdict for i in range(1000, 1004)] == ["block", "allow", "allow", "allow"]
+    assert got[0].verdict == "block" and len(got) == len(rows)
+
+
 def test_no_pages(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0
