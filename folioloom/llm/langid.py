@@ -3,7 +3,8 @@
 For each language a bounded sample of labelled texts becomes a zstandard raw-content dictionary. A text is
 compressed as a whole with each of them, and the dictionary that makes it smallest names its language.
 Where the runner-up is nearly as small the decision is marked as rejected. Only the dictionaries, of
-fixed size, go to the workers.
+fixed size, go to the workers. More languages than a block has are learned and compared in blocks, of
+which a text keeps the two smallest sizes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import attach
 
-#: Texts sampled for a language, in expectation; bytes of a dictionary; most languages; compression level.
+#: Texts sampled for a language, in expectation; bytes of a dictionary; languages of a block; compression level.
 SAMPLE, DICTIONARY, LANGUAGES, LEVEL = 400, 110 * 1024, 64, 4
 #: The margin, as a share of the smallest size, below which a decision is rejected.
 MARGIN = 0.01
@@ -36,7 +37,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict
     """Dictionaries by language from ``docs`` (doc_id, text, lang; null languages and texts teach nothing).
 
     The sample of a language is taken by a hash of the ids: about ``sample`` texts however many there
-    are. At most LANGUAGES languages are supported; more are an error.
+    are. At most LANGUAGES languages, a block of them; more are an error (``learn_all`` takes any number).
     """
     known = docs.filter("lang is not null and text is not null and text <> ''")
     per = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
@@ -55,6 +56,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict
     return found
 
 
+def learn_all(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
+    """``learn`` for any number of languages, a block at a time."""
+    names = docs.filter("lang is not null and text is not null and text <> ''").select("lang").distinct()
+    langs = sorted(r.lang for r in names.collect())  # a short text a language
+    if len(langs) <= LANGUAGES:
+        return learn(docs, sample, size)
+    found = {}
+    for i in range(0, len(langs), LANGUAGES):
+        found |= learn(docs.filter(F.col("lang").isin(langs[i : i + LANGUAGES])), sample, size)
+    return found
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.languages, self.coders = sorted(dictionaries), []
@@ -65,15 +78,24 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """Language, score from 0 to 1, and margin between the two smallest sizes as a share of the smallest."""
+        return decide(self.smallest(text))
+
+    def smallest(self, text: str | None) -> list[tuple[int, str]]:
+        """The two smallest sizes with their languages, of equal ones the first by name; none for texts without letters."""
         if not self.languages or not text or not _LETTER.search(text):
-            return "und", 0.0, 0.0
+            return []
         raw = letters(text)
-        sizes = np.array([len(c.compress(raw)) for c in self.coders], float)
-        order = np.argsort(sizes, kind="stable")
-        if len(order) == 1:
-            return self.languages[0], 1.0, 1.0
-        best, margin = order[0], float((sizes[order[1]] - sizes[order[0]]) / sizes[order[0]])
-        return self.languages[best], float(1 / (1 + np.exp(-min(50.0, 100 * margin)))), margin
+        return sorted((len(c.compress(raw)), lang) for lang, c in zip(self.languages, self.coders, strict=True))[:2]
+
+
+def decide(smallest: list[tuple[int, str]]) -> tuple[str, float, float]:
+    if not smallest:
+        return "und", 0.0, 0.0
+    if len(smallest) == 1:
+        return smallest[0][1], 1.0, 1.0
+    (best, lang), (second, _) = smallest
+    margin = (second - best) / best
+    return lang, float(1 / (1 + np.exp(-min(50.0, 100 * margin)))), margin
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -83,13 +105,21 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     learned. Equal sizes go to the language that comes first by name, and are not accepted.
     """
     attach(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES dictionaries of fixed size at most
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # a dictionary of bounded size for each language
+    langs = sorted(dictionaries)
+    blocks = [langs[i : i + LANGUAGES] for i in range(0, len(langs), LANGUAGES)] or [[]]
     some = docs.select("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(shared.value)
+        coder = lambda block: Classifier({k: shared.value[k] for k in block})
+        only = coder(blocks[0]) if len(blocks) == 1 else None  # coders are larger than dictionaries: of several blocks one is held
         for b in batches:
-            found = [classifier.classify(t) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            least: list[list[tuple[int, str]]] = [[] for _ in texts]
+            for block in blocks:
+                classifier = only or coder(block)
+                least = [sorted(x + classifier.smallest(t))[:2] for x, t in zip(least, texts, strict=True)]
+            found = [decide(x) for x in least]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score", "margin"])
 
     kind = dict(some.dtypes)["doc_id"]

@@ -38,7 +38,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir, "doc_id", "text", "lang")
     held = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(True))
-    out = langid.identify(docs, langid.learn(docs.filter(~held)))
+    out = langid.identify(docs, langid.learn_all(docs.filter(~held)))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 

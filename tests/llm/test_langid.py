@@ -51,3 +51,18 @@ def test_too_many_languages(spark):
     rows = [(i, "text", f"l{i}", "s", 4) for i in range(L.LANGUAGES + 1)]
     with pytest.raises(ValueError, match="languages"):
         L.learn(table(spark, rows))
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    df = table(spark, corpus(120, 2))
+    whole = L.learn_all(df)
+    want = sorted(L.identify(df, whole).collect())
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    parts = L.learn_all(df)
+    assert parts == whole and sorted(L.identify(df, parts).collect()) == want
+    monkeypatch.undo()
+    rows = [(i, f"text of l{i}", f"l{i}", "s", 4) for i in range(L.LANGUAGES + 1)]
+    many = table(spark, rows)
+    found = L.learn_all(many)
+    assert len(found) == len(rows)
+    assert L.identify(many.filter("doc_id < 5"), found).count() == 5
