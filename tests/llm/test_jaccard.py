@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioloom.llm import jaccard as J
@@ -81,8 +82,38 @@ def test_group_of_near_copies_needs_few_pairs(spark):
     assert {r.component_id for r in found.collect()} == {0}
     ids = df.selectExpr("doc_id as id", "text")
     rows = J.describe(ids, 3, 90, J.frequencies(ids, 3))
-    tokens = rows.selectExpr("id", "size", "posexplode(prefix) as (at, token)")
-    assert J.first_pairs(J.shared_tokens(tokens), 90).count() < 40 * 300  # all pairs are 44850
+    assert J.first_pairs(J.shared_tokens(J.prefix_rows(rows)), 90).count() < 40 * 300  # all pairs are 44850
+
+
+def test_salted_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "SALTED", 8)  # few rows a task
+    monkeypatch.setattr(J, "EACH", 3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(100)] + corpus(9, 60)
+    ids = docs(spark, texts).selectExpr("doc_id as id", "text")
+    frequency = J.frequencies(ids, 3)
+    drawn = J.describe(ids, 3, 90, frequency).selectExpr("explode(salt) as salt").groupBy().agg({"salt": "max"}).first()[0]
+    assert drawn > 3
+    got = {r.doc_id: r for r in J.join(docs(spark, texts), 3, 90, links=True).collect()}
+    assert {i: r.component_id for i, r in got.items()} == brute(list(enumerate(texts)), 3, 90)
+    assert [got[i].n_links for i in range(len(texts))] == brute_links(texts, 3, 90)
+
+
+def test_sets_and_verification():
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "A b", " a  b c ", "A b\tc\nd", "é ü 🙂 x y", " \n", "x" * 70] + ["".join(rng.choice("ab \n\tC") for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    for n in (1, 3, 5):
+        seen = {}
+        column = pa.array(texts)
+        for t, s in zip(texts, J.shingle_sets(column, n), strict=True):
+            assert len(s) == len(shingles(t, n)) and seen.setdefault(s.tobytes(), shingles(t, n)) == shingles(t, n)
+        assert len(seen) == len({shingles(t, n) for t in texts})
+        assert all((s == t).all() for s, t in zip(J.shingle_sets(column.slice(5, 40), n), [J.shingle_set(t, n) for t in texts[5:45]], strict=True))
+        for _ in range(500):
+            a, b = rng.choice(texts) or "", rng.choice(texts) or ""
+            b = rng.choice((b, a + " q", "c " + a))
+            s, t = shingles(a, n), shingles(b, n)
+            assert J.similar(a, b, n, 60) == (bool(s) and bool(t) and 100 * len(s & t) >= 60 * len(s | t))
 
 
 def test_filters_lose_nothing():
@@ -101,10 +132,11 @@ def test_filters_lose_nothing():
             assert flips <= len(a) + len(b) - 2 * common
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [4, 1 << 18])
+def test_components(spark, most):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 90), rng.randint(50, 90)) for _ in range(30)]
-    got = {r.id: r.root for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.root for r in J.components(spark.createDataFrame(links, "a long, b long"), most).collect()}
     root = defaultdict(lambda: None)
     for a, b in links:
         root[a], root[b] = root[a] or a, root[b] or b
