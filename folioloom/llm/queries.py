@@ -43,11 +43,6 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_docs(spark, sf_dir, "doc_id", "text"), words=3, percent=90)
-
-
-def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5_jaccard_join with the number of links of each row's class."""
     return jaccard.join(_docs(spark, sf_dir, "doc_id", "text"), words=3, percent=90, links=True)
 
 
@@ -78,7 +73,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_toxicity, op3_quality, op4_language, op5_jaccard_join, op6_packing, op7_mixing, op8_sharding, op9_url_filter, op10_token_output, op5_jaccard_links)
+    found = (op1_exact_dedup, op2_toxicity, op3_quality, op4_language, op5_jaccard_join, op6_packing, op7_mixing, op8_sharding, op9_url_filter, op10_token_output)
     return {f.__name__: f for f in found}
 
 
@@ -155,18 +150,10 @@ p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
 r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on l.a = r.reach),
 k as (select doc_id, min(reach) as component_id from r group by doc_id),
-h as (select doc_id, md5(string_agg(g, '|' order by g)) as h from s group by doc_id), e as (select doc_id, min(doc_id) over (partition by h) as class_id from h)
-select k.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(class_id, k.doc_id) as class_id, component_id from k left join n using (doc_id) left join e using (doc_id)
-"""
-
-OP5_LINKS = rf"""
-with o as ({OP5}),
-d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from d where len(w) > 0)),
-c as (select s.* from s join o using (doc_id) where doc_id = class_id), n as (select doc_id, count(*) as n from c group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as c from c a join c b on a.g = b.g and a.doc_id <> b.doc_id group by all),
-l as (select a as class_id, count(*) as n_links from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c) group by a)
-select o.*, coalesce(n_links, 0)::bigint as n_links from o left join l using (class_id)
+h as (select doc_id, md5(string_agg(g, '|' order by g)) as h from s group by doc_id), e as (select doc_id, min(doc_id) over (partition by h) as class_id from h),
+c as (select x.class_id, count(distinct y.class_id) as n_links from l join e x on x.doc_id = a join e y on y.doc_id = b where x.class_id <> y.class_id group by x.class_id)
+select k.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(e.class_id, k.doc_id) as class_id, component_id, coalesce(n_links, 0)::bigint as n_links
+from k left join n using (doc_id) left join e using (doc_id) left join c on c.class_id = e.class_id
 """
 
 _MOMENTS = "case when sum({m} * (1 - {m}) * ({n} - 1)) > 0 then round(least(1000.0, greatest(2.0, 1 / greatest((sum({n} * ({b} / {n}::double - {m}) * ({b} / {n}::double - {m})) - sum({m} * (1 - {m}))) / greatest(sum({m} * (1 - {m}) * {n}) - sum({m} * (1 - {m})), 1e-9), 1e-9) - 1)), 6) else 1000.0 end"
@@ -189,4 +176,4 @@ select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'al
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_quality": OP3, "op5_jaccard_join": OP5, "op5_jaccard_links": OP5_LINKS, "op7_mixing": OP7, "op9_url_filter": OP9}
+    return {"op1_exact_dedup": OP1, "op3_quality": OP3, "op5_jaccard_join": OP5, "op7_mixing": OP7, "op9_url_filter": OP9}
