@@ -9,6 +9,7 @@ balance, and scores are shifted so that this point is 0.5. The model has a fixed
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,12 +17,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import attach
 
-#: Labelled texts to fit on, at most, of each label.
-SAMPLE = 3000
+#: Labelled texts to fit on, at most, of each label; their bytes, about; bytes of the longest that is drawn.
+SAMPLE, SAMPLE_BYTES, LONGEST = 3000, 16 << 20, 1 << 20
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.05, 1e-4
 #: Texts of the sample a bucket must be in to get an embedding; toxic texts that weigh as much in a language's threshold as all languages' do.
@@ -251,27 +253,43 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, rarity: float) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled texts of each label, drawn by a hash of their ids.
+    """Fit on at most ``sample`` labelled texts of each label, drawn by a hash of their ids, of about SAMPLE_BYTES bytes.
 
     ``docs`` (doc_id, text, lang), ``labels`` (doc_id, toxic 0/1), both as far as they may be learned from.
-    Only ids are sorted; at most 2 * ``sample`` texts reach the driver. Of several labels of an id the
-    largest counts; null labels, ids and texts teach nothing.
+    Only ids are sorted. The sample goes to one task, which hands back the model; no text reaches the
+    driver. Texts over LONGEST bytes aren't drawn; those drawn are read whole. Of several labels of an id
+    the largest counts; null labels, ids and texts teach nothing. Without labelled texts no text is toxic.
     """
+    attach(docs.sparkSession)
     per = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    per = per.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     drawn = [per.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     some = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * sample ids
-    rows = docs.filter("text is not null").join(some, "doc_id").select("doc_id", "text", "lang", "toxic").collect()
-    chosen = {r.doc_id: r for r in sorted(rows, key=lambda r: r.text)}  # of rows that share an id one
-    rows = [chosen[k] for k in sorted(chosen, key=lambda k: zlib.crc32(str(k).encode()) ^ 0x5BD1E995)]
-    size = {r.toxic: r.n for r in per.groupBy(F.least("toxic", F.lit(1)).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.octet_length("text").cast("long")
+    rows = docs.filter(F.col("text").isNotNull() & (size <= LONGEST)).join(some, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "toxic")
+    before = F.sum(size).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "text").rowsBetween(W.unboundedPreceding, -1))  # 2 * sample rows
+    rows = rows.withColumn("_before", before).filter(F.coalesce("_before", F.lit(0)) < SAMPLE_BYTES).drop("_before")
+    size = {r.toxic: r.n for r in per.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     stands = lambda k: max(1.0, size.get(k, 0) / sample)
-    return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows], [r.lang for r in rows], stands(0) / stands(1))
+    rarity = stands(0) / stands(1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = {}
+        for b in batches:
+            for doc_id, *row in zip(*[b.column(k).to_pylist() for k in ("doc_id", "text", "lang", "toxic")], strict=True):
+                chosen[doc_id] = max(chosen.get(doc_id, row), row, key=lambda r: r[0])  # of rows that share an id the last by text
+        order = sorted(sorted(chosen), key=lambda k: zlib.crc32(k.encode()) ^ 0x5BD1E995)
+        model = fit(*[[chosen[k][i] for k in order] for i in (0, 2, 1)], rarity)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(learn, "model binary").first()  # 2 * SAMPLE_BYTES of texts, about
+    return pickle.loads(found.model) if found else fit([], [], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text): doc_id, score from 0 to 1, predicted (1 at 0.5 or more).
 
-    Null and empty texts are scored like texts without a known word.
+    Null and empty texts are scored like texts without a known word; an empty table gives no rows.
     """
     attach(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -286,7 +304,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic; all columns as they are, one pass, no join."""
+    """The rows of ``docs`` that aren't predicted toxic; all columns as they are, one pass, no join.
+
+    Null and empty texts are judged like texts without a known word, ids and labels aren't looked at, rows
+    that repeat share their fate, and an empty table gives no rows.
+    """
     attach(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
