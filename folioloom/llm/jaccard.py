@@ -9,7 +9,7 @@
    the others each row with the first one and with the one before. Pairs that pass the length, positional and
    suffix filters stay. The pair of each set with its smallest candidate is verified on whole texts, and gives
    first components.
-4. All other candidates whose sets are still in different components are verified, and so are all pairs between
+4. All other candidates whose sets are still in different components are verified, then all pairs between
    components of the shingles with many rows; links within a component change nothing. So a group of thousands
    of near copies costs a few pairs a document, and no link between components is lost.
 5. Where links are to be counted, all pairs of classes of a component are compared (links never leave one),
@@ -433,18 +433,20 @@ def _as_links(component: DataFrame) -> DataFrame:
 
 
 def link_all(texts: DataFrame, nodes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, root) of all nodes that have links."""
+    """(id, root) of all nodes that have links. Each pair is verified once at most."""
     tried = stage(suffix_filter(first_pairs(shared, percent), nodes, percent), "join-pairs")
     hooks = stage(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-hooks")
     near = components(verify(hooks, texts, words, percent))
+
+    def with_links(near: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "join-more")
+        return near if pairs.isEmpty() else components(_as_links(near).unionByName(verify(pairs, texts, words, percent)))
+
     side = lambda k: near.select(F.col("id").alias(k), F.col("root").alias(f"r{k}"))
     rooted = tried.join(hooks, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    near = with_links(near, rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     across = cross_pairs(shared.filter("dense").select("token", "id", "size", "at"), near, nodes, percent)
-    more = stage(rest.unionByName(across.join(tried, ["a", "b"], "left_anti")), "join-more")  # each pair is verified once
-    if more.isEmpty():
-        return near
-    return components(_as_links(near).unionByName(verify(more, texts, words, percent)))
+    return with_links(near, across.join(tried, ["a", "b"], "left_anti"))
 
 
 def _pairs_in(sides: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
