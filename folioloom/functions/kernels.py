@@ -351,32 +351,27 @@ def local_threshold(g: np.ndarray, method: str, wh: int = 51, ww: int = 51, k: f
     if method == "singh":
         d = np.abs(v - m)
         f = d / (256 - d + 1e-6)
-        return m * (1 - 0.5 * k * (1 - (f + f * (delta / 128))))
+        return m * (1 - 0.5 * k * (1 - (f + delta / 128)))
     if method == "wan":
         return (m + sliding(g, wh, ww, np.maximum)) / 2 * (1 - k * (1 - (s + delta) / 128))
     if method == "wolf":
         t = m - k * (1 - (s / max(s.max(), 1e-9) + delta / 128)) * (m - v.min())
         return np.where(v < lower, 256.0, np.where(v <= upper, t, -1.0))
     if method == "fox":
-        d = np.maximum(m - v, 0)
-        f = d / (256 - d)
-        return np.clip((m - v.min()) * (1 - 0.5 * k * (1 - (f / (f.max() or 1) + delta / 128))) + v.min(), 0, 255)
+        f = (v - m) / (256 - (v - m))
+        top = np.abs(f).max()
+        part = f / top if top > 0 else np.ones_like(f)
+        return np.clip((m - v.min()) * (1 - 0.5 * k * (1 - (part + delta / 128))) + v.min(), 0, 255)
     if method == "window":
         span = s.max() - s.min()
         kds = np.ones_like(s) if span == 0 else (s - s.min()) / span
         return m * (1 - k * ((m + 1 - delta) / (v.mean() + s + 1)) / (1 + (2 * v.mean() + 1) / (s + 1) * kds))
     if method == "grad":
-        weight = np.abs(v - m)
-        area = window_area(g.shape, wh, ww)
-        total = window_sum(weight, wh, ww) / area
-        mean = np.where(total > 1e-9, window_sum(weight * v, wh, ww) / area / np.maximum(total, 1e-9), m)
-        return mean * (1 - k) + m * k - delta
-    if method == "robust":
-        spread = window_sum(np.abs(v - m), wh, ww) / window_area(g.shape, wh, ww)
-        return m - k * (spread - delta)
-    if method == "engraving":
-        hi, lo = sliding(g, wh, ww, np.maximum).astype(float), sliding(g, wh, ww, np.minimum).astype(float)
-        return (m + (hi + lo) / 2) / 2 * (1 - 0.1 * k) + delta
+        near = np.floor(np.clip(m + 0.5 + delta, 0, 255))
+        weight = np.abs(near - v)  # of the whole page one mean, weighted by contrast
+        whole = (weight * v).sum() / weight.sum() if weight.any() else 127.5
+        t = whole * (1 - k) + near * k
+        return np.where(v < lower, 256.0, np.where(v <= upper, t, -1.0))
     if method == "multiscale":
         return multiscale(g, max(wh, ww), k, delta)
     raise ValueError(f"no such rule: {method}")
@@ -432,18 +427,59 @@ def gatos(g: np.ndarray, window: int = 51, sigma: float = 3.0, k: float = 0.2, q
     return gap > t
 
 
-def grain(g: np.ndarray, window: int = 51, k: float = 0.34) -> np.ndarray:
-    """Black by Sauvola on the image with its fine grain taken off by a small opening and closing."""
-    smooth = closed(opened(g, 3, 3), 3, 3)
-    return smooth < local_threshold(smooth, "sauvola", window, window, k)
+def engraving(g: np.ndarray, window: int = 51, k: float = 0.5, delta: float = 0.0) -> np.ndarray:
+    """The blurred page, with bands as wide as its mean contrast overlaid on it, then one threshold by Otsu."""
+    radius = window >> 1
+    blur = np.floor(gauss_blur(g, radius, radius) + 0.5)
+    contrast = np.abs(g - blur).mean()
+    if radius and k and contrast > 0:
+        band = 4 * (blur / contrast % 1 - 0.5) ** 2
+        overlay = np.where(blur > 127.5, 255 - 2 * (255 - blur) * (1 - band), 2 * blur * band)
+        blur = np.floor(np.clip(k * overlay + (1 - k) * blur + 0.5, 0, 255))
+    e = blur.astype(np.uint8)
+    return e < otsu(histogram(e)) + int(delta)
+
+
+def grain(g: np.ndarray, window: int = 51, k: float = 0.5, delta: float = 0.0) -> np.ndarray:
+    """The page blended with its local contrast, from which its own blur is taken once more, then the bimodal threshold."""
+    radius = window >> 1
+    smooth = lambda x: np.floor(gauss_blur(x, radius, radius) + 0.5)
+    e = g
+    if radius and k:
+        local = np.clip(g - smooth(g) + 127, 0, 255)
+        local = np.clip(2 * local - smooth(local), 0, 255)
+        e = np.clip(k * local + (1 - k) * g + 0.5, 0, 255).astype(np.uint8)
+    return e < bimodal(histogram(e), int(delta))
+
+
+def densest_level(h: np.ndarray) -> int:
+    """The level at which ever narrower spans, each within the one before, hold most pixels."""
+    upto, low, span = np.cumsum(h), 0, 128
+    while span:
+        at = np.arange(low, min(low + span, 256 - span))
+        mass = upto[at + span] - np.where(at > 0, upto[at], 0)
+        if len(at) and mass.max() > 0:
+            low = int(at[mass.argmax()])
+        span //= 2
+    return low
 
 
 def mean_rule(g: np.ndarray, delta: float = 0.0) -> np.ndarray:
-    """Pixels further from the dominant level than the root mean square distance; the smaller side is black."""
-    at = dominant_level(histogram(g))
-    d = np.abs(g.astype(float) - at)
-    far = d > math.sqrt(float((d * d).mean())) * (1 - 0.02 * delta)
-    return ~far if far.mean() > 0.5 else far
+    """Black is nearer to the densest level than the root mean square distance, or farther if more than half is near."""
+    d = np.abs(g.astype(float) - densest_level(histogram(g)))
+    reach = math.sqrt(float((d * d).mean()))
+    turned = 2 * int((d < reach).sum()) > d.size
+    return (d < reach * (1 - 0.02 * delta if turned else 1 + 0.02 * delta)) != turned
+
+
+def robust(g: np.ndarray, window: int = 51, k: float = 0.2, delta: float = 0.0) -> np.ndarray:
+    """Each pixel's contrast to its surroundings is stretched and blended in, then one threshold by Otsu."""
+    v, (m, _) = g.astype(float), local_stats(g, window, window)
+    gap = m - v
+    safe = np.abs(m + gap) > 1e-6
+    bright = np.where(safe, 255 - (m + 255) * gap / np.where(safe, m + gap, 1), v)
+    e = np.clip(k * bright + (1 - k) * v + 0.5, 0, 255).astype(np.uint8)
+    return e < otsu(histogram(e)) + int(delta)
 
 
 METHODS = ("otsu", "mean", "bimodal", "peak", "mokji", "sauvola", "wolf", "bradley", "niblack", "nick", "singh", "wan", "fox", "window", "grad", "robust", "engraving", "multiscale", "edge_div", "gatos", "grain")
@@ -465,10 +501,16 @@ def binarize(g: np.ndarray, method: str = "otsu", window: int = 51, k: float | N
     if method == "edge_div":
         e = edge_div(g, window, window)
         return e < otsu(histogram(e)) + delta
+    if method == "robust":
+        return robust(g, window, delta=delta, **own)
+    if method == "grad":
+        own = own or {"k": 0.3}
     if method == "gatos":
         return gatos(g, window, **own)
     if method == "grain":
-        return grain(g, window, **own)
+        return grain(g, window, delta=delta, **own)
+    if method == "engraving":
+        return engraving(g, window, delta=delta, **own)
     return g < local_threshold(g, method, window, window, delta=delta, **own)
 
 

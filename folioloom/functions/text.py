@@ -16,7 +16,7 @@ BYLINE = r"(?i)^(edited by|translated by|written by|by)\b\s*(.*)$"
 
 def _digit(s: Column, i: Column) -> Column:
     c = F.substring(s, i, F.lit(1))
-    return F.when(c == "X", 10).otherwise(c.try_cast("int"))
+    return F.when(F.upper(c) == "X", 10).otherwise(c.try_cast("int"))
 
 
 def is_isbn13(s: Column) -> Column:
@@ -26,9 +26,9 @@ def is_isbn13(s: Column) -> Column:
 
 
 def is_isbn10(s: Column) -> Column:
-    """9 digits and a digit or X whose sum, weighted 10 to 1, is a multiple of 11."""
+    """9 digits and a digit or X, of either case, whose sum, weighted 10 to 1, is a multiple of 11."""
     total = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0), lambda a, i: a + _digit(s, i) * (11 - i))
-    return F.when(s.rlike(r"^\d{9}[\dX]$"), total % 11 == 0).otherwise(False)
+    return F.when(s.rlike(r"^\d{9}[\dXx]$"), total % 11 == 0).otherwise(False)
 
 
 def find_isbn(text: Column) -> Column:

@@ -86,8 +86,8 @@ def outliers(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def unsplit_spreads(df: DataFrame) -> DataFrame:
-    """Pages about as wide as the widest, when that is about twice the median width."""
-    some = df.filter("aligned and w > 0 and h > 0")
+    """Pages about as wide as the widest, when that is about twice the median width. Heights don't matter."""
+    some = df.filter("aligned and w > 0")
     rows = some.withColumn("_m", _medians(some)).withColumns({"spread": F.col("_m")["xw"] / F.col("_m")["mw"], "of_widest": F.col("w") / F.col("_m")["xw"]})
     return rows.filter("spread > 1.8 and spread < 2.2 and of_widest > 0.9 and of_widest < 1.1").drop("_m")
 

@@ -120,10 +120,17 @@ def relink(paths: DataFrame, old: str, new: str, column: str = "path") -> DataFr
 
 
 def normalize_path(path: Column) -> Column:
-    """Forward slashes, none repeated, no ``.`` steps, no slash at the end."""
-    one = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
-    dots = F.regexp_replace(F.regexp_replace(one, r"(/\.)+(?=/|$)", ""), r"^\./", "")
-    return F.when(dots.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(dots, "/$", ""))
+    """Forward slashes, none repeated or at the end, no ``.`` steps, ``..`` resolved; null where that leaves the root or a drive."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        stuck = last.isNull() | (last == "") | last.endswith(":")
+        up = F.when(stuck, F.lit(None)).otherwise(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        empty = F.when(F.size(done) == 0, F.array(part)).otherwise(done)
+        return F.when(done.isNull(), F.lit(None)).when(part == "", empty).when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def output_name(base: Column, label: Column, page: Column, sub: Column, ext: str = ".tif") -> Column:

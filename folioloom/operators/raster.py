@@ -139,7 +139,7 @@ def local_threshold(px: DataFrame, method: str, wh: int = 5, ww: int = 5, k: flo
     elif method == "singh":
         d = F.abs(v - m)
         f = d / (256 - d + 1e-6)
-        t = m * (1 - 0.5 * k * (1 - (f + f * (delta / 128))))
+        t = m * (1 - 0.5 * k * (1 - (f + delta / 128)))
     elif method == "wan":
         st = rolling(st, F.max, wh, ww, "v", "_lm")
         t = (m + F.col("_lm")) / 2 * (1 - k * (1 - (s + delta) / 128))
@@ -148,9 +148,9 @@ def local_threshold(px: DataFrame, method: str, wh: int = 5, ww: int = 5, k: flo
         t = m - k * (1 - (s / F.col("_smax") + delta / 128)) * (m - F.col("_gmin"))
         return st.select(IMG, "y", "x", ((v < lower) | ((v <= upper) & F.coalesce(v < t, F.lit(False)))).cast("int").alias("b"))
     elif method == "fox":
-        st = _global(st.withColumn("_f", F.greatest(m - v, F.lit(0.0)) / (256 - F.greatest(m - v, F.lit(0.0)))), F.max("_f").alias("_fmax"), F.min("v").alias("_gmin"))
+        st = _global(st.withColumn("_f", (v - m) / (256 - (v - m))), F.max(F.abs("_f")).alias("_fmax"), F.min("v").alias("_gmin"))
         base = m - F.col("_gmin")
-        f = F.when(F.col("_fmax") > 0, F.col("_f") / F.col("_fmax")).otherwise(0.0)
+        f = F.when(F.col("_fmax") > 0, F.col("_f") / F.col("_fmax")).otherwise(1.0)
         t = F.least(F.lit(255.0), F.greatest(F.lit(0.0), base * (1 - 0.5 * k * (1 - (f + delta / 128))) + F.col("_gmin")))
     elif method == "window":
         st = _global(st, F.avg("v").alias("_gm"), F.min("s").alias("_smin"), F.max("s").alias("_smax"))

@@ -100,7 +100,7 @@ with p as (select p_partkey as page_id, cast(p_size as double) as w, p_retailpri
 select page_id, round(w / xw, 6) as of_widest from p, m where xw / mw > 1.8 and xw / mw < 2.2 and w / xw > 0.9 and w / xw < 1.1
 """)
 def layout_unsplit_spreads(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_size").cast("double").alias("w"), F.col("p_retailprice").alias("h"), F.lit(True).alias("aligned"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_size").cast("double").alias("w"), F.when(F.col("p_partkey") % 3 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("h"), F.lit(True).alias("aligned"))
     return L.unsplit_spreads(p).select("page_id", F.round("of_widest", 6).alias("of_widest"))
 
 

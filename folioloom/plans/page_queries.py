@@ -178,12 +178,15 @@ def relink_paths(spark, sf_dir):
 
 
 @query(r"""
-with p as (select page_id, replace(replace(url, '/', '//'), ':', '\') || '/./x/' as raw from pages)
-select page_id, regexp_replace(regexp_replace(regexp_replace(replace(raw, '\', '/'), '/+', '/', 'g'), '/\./', '/', 'g'), '/$', '') as path from p
+with p as (select page_id, replace(replace(url, '/', '//'), ':', '\') || case when page_id % 3 = 0 then '/./x/../../y/' when page_id % 3 = 1 then '/./x/' else '/z/../w/..' end as raw from pages),
+c as (select page_id, list_filter(string_split(replace(raw, '\', '/'), '/'), lambda x: x not in ('', '.')) as parts from p)
+select page_id, array_to_string(list_reduce(list_transform(parts, lambda x: [x]), lambda done, x: case when x[1] = '..' then done[:-2] else done || x end), '/') as path from c
+union all select -1, null union all select -2, '/a' union all select -3, ''
 """)
 def normalize_paths(spark, sf_dir):
-    raw = F.concat(F.replace(F.replace("url", F.lit("/"), F.lit("//")), F.lit(":"), F.lit("\\")), F.lit("/./x/"))
-    return table(spark, sf_dir, "pages").select("page_id", P.normalize_path(raw).alias("path"))
+    raw = F.concat(F.replace(F.replace("url", F.lit("/"), F.lit("//")), F.lit(":"), F.lit("\\")), F.when(F.col("page_id") % 3 == 0, "/./x/../../y/").when(F.col("page_id") % 3 == 1, "/./x/").otherwise("/z/../w/.."))
+    more = spark.createDataFrame([(-1, "c:/../x"), (-2, "/a/b/.."), (-3, "/")], "page_id long, raw string")
+    return table(spark, sf_dir, "pages").select("page_id", raw.alias("raw")).unionByName(more).select("page_id", P.normalize_path(F.col("raw")).alias("path"))
 
 
 @query("select p_partkey, p_name, row_number() over (partition by split_part(p_name, ' ', 1) order by p_partkey) - 1 as label from part")

@@ -112,7 +112,7 @@ def morph_gradient(spark, sf_dir):
 STATS = """st as (select a.img_id, a.y, a.x, any_value(a.v)::double as v, cast(sum(b.v) as double) / count(*) as m,
   sqrt(abs(cast(sum(b.v * b.v) as double) / count(*) - (cast(sum(b.v) as double) / count(*)) * (cast(sum(b.v) as double) / count(*)))) as s, max(b.v) as lm
   from px a join px b on a.img_id = b.img_id and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 group by a.img_id, a.y, a.x),
-g as (select img_id, min(v) as gmin, max(s) as smax, min(s) as smin, avg(v) as gm, max(greatest(m - v, 0) / (256 - greatest(m - v, 0))) as fmax from st group by img_id),
+g as (select img_id, min(v) as gmin, max(s) as smax, min(s) as smin, avg(v) as gm, max(abs((v - m) / (256 - (v - m)))) as fmax from st group by img_id),
 t as (select * from st join g using (img_id))"""
 RULES = {
     "niblack": ("v < m - 0.2 * (s - 1)", {"k": 0.2, "delta": 1.0}),
@@ -121,8 +121,8 @@ RULES = {
     "nick": ("v < m - 0.1 * sqrt(s * s + (50 - 10) * 0.01 * m * m)", {"k": 0.1, "delta": 10.0}),
     "wolf": ("v < 1 or (v <= 254 and coalesce(v < m - 0.3 * (1 - (s / smax + 0.0 / 128)) * (m - gmin), false))", {"k": 0.3}),
     "wan": ("v < (m + lm) / 2 * (1 - 0.2 * (1 - (s + 0) / 128))", {"k": 0.2}),
-    "singh": ("v < m * (1 - 0.5 * 0.2 * (1 - abs(v - m) / (256 - abs(v - m) + 1e-6)))", {"k": 0.2}),
-    "fox": ("v < least(255.0, greatest(0.0, (m - gmin) * (1 - 0.5 * 0.3 * (1 - case when fmax > 0 then greatest(m - v, 0) / (256 - greatest(m - v, 0)) / fmax else 0 end)) + gmin))", {"k": 0.3}),
+    "singh": ("v < m * (1 - 0.5 * 0.2 * (1 - (abs(v - m) / (256 - abs(v - m) + 1e-6) + 8 / 128)))", {"k": 0.2, "delta": 8.0}),
+    "fox": ("v < least(255.0, greatest(0.0, (m - gmin) * (1 - 0.5 * 0.3 * (1 - (case when fmax > 0 then (v - m) / (256 - (v - m)) / fmax else 1 end + 16 / 128))) + gmin))", {"k": 0.3, "delta": 16.0}),
     "window": ("v < m * (1 - 0.2 * ((m + 1) / (gm + s + 1)) / (1 + (2 * gm + 1) / (s + 1) * case when smax = smin then 1 else (s - smin) / (smax - smin) end))", {"k": 0.2}),
 }
 for _name, (_rule, _args) in RULES.items():

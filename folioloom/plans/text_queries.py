@@ -26,12 +26,12 @@ def isbn13_check(spark, sf_dir):
 
 
 @query("""
-with i as (select c_custkey as k, lpad(cast(c_custkey * 104729 % 1000000000 as varchar), 9, '0') || case when c_custkey % 3 = 0 then 'X' else cast(c_custkey % 10 as varchar) end as isbn from customer)
-select k, isbn, list_sum([(case when substr(isbn, j::int, 1) = 'X' then 10 else cast(substr(isbn, j::int, 1) as int) end) * (11 - j) for j in range(1, 11)]) % 11 = 0 as is_valid from i
+with i as (select c_custkey as k, lpad(cast(c_custkey * 104729 % 1000000000 as varchar), 9, '0') || case when c_custkey % 6 = 0 then 'x' when c_custkey % 3 = 0 then 'X' else cast(c_custkey % 10 as varchar) end as isbn from customer)
+select k, isbn, list_sum([(case when upper(substr(isbn, j::int, 1)) = 'X' then 10 else cast(substr(isbn, j::int, 1) as int) end) * (11 - j) for j in range(1, 11)]) % 11 = 0 as is_valid from i
 """)
 def isbn10_check(spark, sf_dir):
     i = F.col("c_custkey")
-    isbn = F.concat(F.lpad((i * 104729 % 1000000000).cast("string"), 9, "0"), F.when(i % 3 == 0, "X").otherwise((i % 10).cast("string")))
+    isbn = F.concat(F.lpad((i * 104729 % 1000000000).cast("string"), 9, "0"), F.when(i % 6 == 0, "x").when(i % 3 == 0, "X").otherwise((i % 10).cast("string")))
     return table(spark, sf_dir, "customer").select(i.alias("k"), isbn.alias("isbn")).select("k", "isbn", X.is_isbn10(F.col("isbn")).alias("is_valid"))
 
 
@@ -49,16 +49,16 @@ def year_extract(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.find_year(said).alias("year"))
 
 
-_FIRST = "select doc_id, regexp_extract(text, '^[^.\n]*') as line from documents"
+_ALL_LINES = "select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as i from documents"
 
 
 @query(rf"""
-with d as ({_FIRST}), w as (select doc_id, line, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as ws from d)
-select doc_id, len(ws) between 1 and 4 and len(list_filter(ws, lambda x: not regexp_matches(x, '^\p{{Lu}}[\p{{L}}.''-]*$'))) = 0 as is_name, regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])\p{{Lu}}') as is_name_line from w
+with d as ({_ALL_LINES}), w as (select doc_id, i, line, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as ws from d)
+select doc_id, i, len(ws) between 1 and 4 and len(list_filter(ws, lambda x: not regexp_matches(x, '^\p{{Lu}}[\p{{L}}.''-]*$'))) = 0 as is_name, regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])\p{{Lu}}') as is_name_line from w
 """)
 def looks_like_name(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^.\n]*", 0).alias("line"))
-    return d.select("doc_id", X.looks_like_name(F.col("line")).alias("is_name"), F.col("line").rlike(r"(^|[^\p{L}\p{N}_])\p{Lu}").alias("is_name_line"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return d.select("doc_id", "i", X.looks_like_name(F.col("line")).alias("is_name"), F.col("line").rlike(r"(^|[^\p{L}\p{N}_])\p{Lu}").alias("is_name_line"))
 
 
 @query("""
@@ -119,12 +119,12 @@ def full_text(spark, sf_dir):
 
 
 @query("""
-with f as (select doc_id, source as path, n_chars from documents where doc_id % 3 <> 0), w as (select doc_id, list(quality * 2 + toxic order by quality, toxic) as words from labels group by doc_id)
-select path, doc_id, words from f join w using (doc_id) where n_chars > 100
+with f as (select page_id as doc_id, url as path from pages), w as (select doc_id, list(quality * 2 + toxic order by quality, toxic) as words from labels group by doc_id)
+select path, doc_id, words from f join w using (doc_id)
 """)
 def ocr_text_layer(spark, sf_dir):
     """Pages with an existing output file and recognised words, and the words in order."""
-    f = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0 and n_chars > 100").select("doc_id", F.col("source").alias("path"))
+    f = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"))
     w = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("quality") * 2 + F.col("toxic"))).alias("words"))
     return f.join(w, "doc_id").select("path", "doc_id", "words")
 
@@ -132,10 +132,10 @@ def ocr_text_layer(spark, sf_dir):
 def _lines(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     h = (F.col("turn") * 13 % 7 + 10).cast("double")
-    return c.select(F.col("conv_id").alias("book"), F.col("turn").alias("i"), F.left("text", F.lit(40)).alias("text"), h.alias("height"), (F.col("turn") * 20).cast("double").alias("top"), F.lit(0.9).alias("conf"), F.lit(100.0).alias("page_h"))
+    return c.select(F.col("conv_id").alias("book"), F.col("turn").alias("i"), "text", h.alias("height"), (F.col("turn") * 20).cast("double").alias("top"), F.lit(0.9).alias("conf"), F.lit(100.0).alias("page_h"))
 
 
-_LINES = "l as (select conv_id as book, turn as i, substr(text, 1, 40) as text, cast(turn * 13 % 7 + 10 as double) as height, cast(turn * 20 as double) as top from conversations)"
+_LINES = "l as (select conv_id as book, turn as i, text, cast(turn * 13 % 7 + 10 as double) as height, cast(turn * 20 as double) as top from conversations)"
 
 
 @query(rf"""with {_LINES}, f as (select *, row_number() over (partition by book order by height desc, top, text) as r from l where top <= 60 and length(trim(text)) >= 3 and regexp_matches(text, '\p{{L}}')) select book, text as title from f where r = 1""")

@@ -186,3 +186,26 @@ def test_paper_and_tones():
     g[:, 40:52] = 250
     found = K.spread_geometry(g)
     assert (found["b"], found["e"]) == (40, 52) and min(found["left"], found["right"]) > 50
+
+
+def test_rules_worked_out_by_hand():
+    g = np.array([[10, 10, 200]], np.uint8)
+    m = np.array([10, 220 / 3, 105])  # windows of one row and three pixels, clipped
+    v = g[0].astype(float)
+    assert np.allclose(K.local_threshold(g, "singh", 3, 3, k=0.2, delta=64)[0], m * (1 - 0.1 * (1 - (np.abs(v - m) / (256 - np.abs(v - m) + 1e-6) + 0.5))))
+    f = (v - m) / (256 - (v - m))
+    assert np.allclose(K.local_threshold(g, "fox", 3, 3, k=0.5, delta=0)[0], (m - 10) * (1 - 0.25 * (1 - f / f[2])) + 10)
+    # rounded means 10, 73, 105; contrasts 0, 63, 95; their weighted mean of the levels is (630 + 19000) / 158
+    assert np.allclose(K.local_threshold(g, "grad", 3, 3, k=0.25)[0], (19630 / 158) * 0.75 + np.array([10, 73, 105]) * 0.25)
+    h = np.zeros(256, np.int64)
+    h[[20, 21, 200]] = 5, 6, 9
+    assert K.densest_level(h) == 12  # spans of 16 from 5 hold the first two levels; the best of 8 from there is at 12, none of 4 holds any
+    page = np.array([[20] * 8 + [200] * 2], np.uint8)
+    assert K.mean_rule(page).tolist() == [[False] * 8 + [True] * 2]  # most are near the densest level
+    assert K.mean_rule(page, 200.0).all()  # nothing is nearer than a negative reach
+    flat = np.full((4, 4), 90, np.uint8)
+    assert not K.mean_rule(flat).any()
+    for method in ("robust", "engraving", "grain"):
+        bits = K.binarize(np.pad(np.full((4, 4), 30, np.uint8), 6, constant_values=220), method, 5)
+        assert bits.shape == (16, 16) and not bits[0, 0]
+        assert bits[7, 7] or method == "engraving"

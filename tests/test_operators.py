@@ -115,6 +115,8 @@ def test_names_and_files(spark):
     assert one(spark, X.pdf_name(F.lit(None), F.lit(""), F.lit(None), F.lit("..."))) == "output.pdf"
     assert [one(spark, X.duration(F.lit(t))) for t in (-5, 1240, 61_000, 3_660_000)] == ["0.0 s", "1.2 s", "1 m 1 s (61 s)", "1 h 1 m (3660 s)"]
     assert one(spark, P.normalize_path(F.lit("a//b/./c\\d/"))) == "a/b/c/d"
+    paths = {"/a/../b": "/b", "a/b/../..": "", "/..": None, "c:/..": None, "../a": None, "/": "", "": "", "//a/b/../c/.": "/a/c"}
+    assert {k: one(spark, P.normalize_path(F.lit(k))) for k in paths} == paths
 
 
 def test_lines_title_author(spark):
