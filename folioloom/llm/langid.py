@@ -33,12 +33,38 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
+def span(raw: bytes, size: int, draw: int) -> bytes:
+    """``size`` bytes of ``raw`` at most, from a place that ``draw`` picks among all of it; words are whole where there are spaces."""
+    if len(raw) <= size:
+        return raw
+    start = draw % (len(raw) - size + 1)
+    some = raw[start : start + size]
+    if start and b" " in some:
+        some = some[some.index(b" ") + 1 :]
+    if start + size < len(raw) and b" " in some:
+        some = some[: some.rindex(b" ")]
+    return some
+
+
+def shared_out(sizes: list[int], room: int) -> int:
+    """The most that each may have so that together they don't exceed ``room``: short ones leave theirs to the others."""
+    left = len(sizes)
+    for size in sorted(sizes):
+        if size * left > room:
+            return room // left
+        room, left = room - size, left - 1
+    return max(sizes, default=0)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries by language from ``docs`` (doc_id, text, lang; null languages and texts teach nothing).
 
     The sample of a language is taken by a hash of the ids: about ``sample`` texts however many there
-    are. At most LANGUAGES languages, a block of them; more are an error (``learn_all`` takes any number).
+    are. Each has an equal share of the dictionary, a span from a place in the whole text that a hash
+    picks; what short texts leave goes to the others. Only such spans reach the driver. At most LANGUAGES
+    languages, a block of them; more are an error (``learn_all`` takes any number).
     """
+    attach(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null and text <> ''")
     per = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if len(per) > LANGUAGES:
@@ -46,14 +72,24 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict
     if not per:
         return {}
     share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], min(1.0, sample / r["count"]))])
+    most = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], 4 * size // max(1, min(sample, r["count"])))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), F.left("text", F.lit(size)).alias("text")).collect()  # about ``sample`` texts a language
-    found = {}
-    for lang in sorted({r.lang for r in rows}):
-        texts = [letters(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.h, r.text))]
-        fair = max(256, size // max(1, len(texts)))  # no long text fills the dictionary alone
-        found[lang] = b"\n".join([t[: 4 * fair] for t in texts])[-size:]
-    return found
+    rows = known.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("h"), most[F.col("lang")].alias("most"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [span(letters(t), m, h & (1 << 63) - 1) for t, m, h in zip(*[b.column(k).to_pylist() for k in ("text", "most", "h")], strict=True)]
+            yield pa.record_batch([b.column("lang"), b.column("h"), pa.array(spans, pa.binary())], names=["lang", "h", "span"])
+
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for r in rows.mapInArrow(cut, "lang string, h long, span binary").collect():  # about 4 * ``size`` bytes a language
+        found.setdefault(r.lang, []).append((r.h, bytes(r.span)))
+    out = {}
+    for lang in sorted(found):
+        spans = sorted(found[lang])
+        fair = shared_out([len(x) + 1 for _, x in spans], size)
+        out[lang] = b"\n".join(span(x, fair - 1, h & (1 << 63) - 1) for h, x in spans) if fair > 1 else b""
+    return out
 
 
 def learn_all(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:

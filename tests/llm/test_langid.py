@@ -66,3 +66,21 @@ def test_more_languages_than_a_block(spark, monkeypatch):
     found = L.learn_all(many)
     assert len(found) == len(rows)
     assert L.identify(many.filter("doc_id < 5"), found).count() == 5
+
+
+def test_every_sampled_text_teaches(spark):
+    rows = [(i, f"head{i} " * 300 + f"tail{i} " * 300, "xx", "s", 0) for i in range(30)] + [(99, "short", "xx", "s", 5)]
+    (made,) = L.learn(table(spark, rows), sample=1000, size=6000).values()
+    assert 5000 < len(made) <= 6000 and b"short" in made
+    parts = made.split(b"\n")
+    assert len(parts) == 31
+    assert any(b"tail" in x for x in parts) and any(b"head" in x for x in parts)  # places from all of a text
+
+
+def test_spans():
+    raw = "aä bö cü dß".encode() * 40
+    for draw in range(200):
+        some = L.span(raw, 50, draw)
+        assert 0 < len(some) <= 50 and some in raw and some.decode()
+    assert L.span(b"abc", 3, 7) == b"abc"
+    assert L.shared_out([5, 5, 100], 60) == 50 and L.shared_out([1, 2], 60) == 2 and L.shared_out([], 9) == 0
