@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A trained classifier and best-fit packing can't be expressed in SQL; the tests compare with brute force.
+#: A trained classifier and best-fit packing can't be expressed in SQL. The operators have brute-force tests of their own;
+#: of the whole pipeline the tests check columns, row counts and ids.
 ORACLE_SQL = None
