@@ -2,8 +2,8 @@
 
 Each text is counted once. The rates of the counts go into sketches: histograms over log-linear bins
 (whole numbers below 32 exactly, above that 16 bins an octave) by language and source, which merge by
-adding. A group's quartiles give its fences; a group with too few texts takes the merged sketch of its
-language, then of all. The fences, one row a group, are joined to the counts and decide.
+adding. A group's quartiles are drawn towards those of its language, and these towards those of all texts,
+the more the fewer texts it has. The fences they give, one row a group, are joined to the counts and decide.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
-#: Least number of texts for a group's own fences; quartile distances beyond the outer quartiles.
+#: Texts that the quartiles a group is drawn to count for; quartile distances beyond the outer quartiles.
 LEAST, REACH = 200, 4
 #: Of each rate: numerator, denominator, scale, and the slack added to a fence, in scaled units.
 RATES = {
@@ -132,46 +132,47 @@ def sketches(counted: DataFrame) -> DataFrame:
     return values.groupBy("lang", "source", "rate", sketch_bin("value").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], least: int = LEAST, reach: int = REACH) -> DataFrame:
-    """Sketches merged by ``keys``: by rate the lower and upper fence, null for groups with too few texts."""
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged by ``keys``: by rate the outer quartiles and the number of texts."""
     merged = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
     all_ = W.partitionBy(*keys, "rate")
     run = merged.withColumns({"_upto": F.sum("n").over(all_.orderBy("bin")), "_all": F.sum("n").over(all_), "_top": bin_top("bin")})
-    quart = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("_top")))
-    found = run.groupBy(*keys, "rate").agg(quart(1).alias("q1"), quart(3).alias("q3"), F.max("_all").alias("texts")).filter(F.col("texts") >= least)
+    quart = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("_top"))).cast("double")
+    return run.groupBy(*keys, "rate").agg(quart(1).alias("q1"), quart(3).alias("q3"), F.max("_all").cast("double").alias("texts"))
+
+
+def drawn(own: DataFrame, parent: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Quartiles of ``own`` as means with those of ``parent`` (by ``keys`` and rate), weighted by own texts and ``least``."""
+    up = parent.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "rate", "q1", "q3")])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "rate")]
+    mean = lambda q: (F.col("texts") * F.col(q) + F.lit(float(least)) * F.col(f"_{q}")) / (F.col("texts") + F.lit(float(least)))
+    return own.join(up, same).select(*[c for c in own.columns if c not in ("q1", "q3")], mean("q1").alias("q1"), mean("q3").alias("q3"))
+
+
+def fences(sketch: DataFrame, least: int = LEAST, reach: int = REACH) -> DataFrame:
+    """By language and source, a column for each rate: its lower and upper fence."""
+    langs = drawn(quartiles(sketch, ["lang"]), quartiles(sketch, []), [], least)
+    found = drawn(quartiles(sketch, ["lang", "source"]), langs, ["lang"], least)
     slack = F.element_at(F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[3])]), F.col("rate"))
     wide = F.lit(reach) * (F.col("q3") - F.col("q1")) + slack
-    fenced = found.select(*keys, "rate", F.struct((F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high")).alias("f"))
-    return fenced.groupBy(*keys).pivot("rate", list(RATES)).agg(F.first("f"))
+    fenced = found.select("lang", "source", "rate", F.struct((F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high")).alias("f"))
+    return fenced.groupBy("lang", "source").pivot("rate", list(RATES)).agg(F.first("f"))
 
 
 def judge(counted: DataFrame, least: int = LEAST, reach: int = REACH) -> DataFrame:
     """``counted`` with base_failed and kept.
 
     A text is dropped when a rate is above its group's upper fence; a word length also below the lower
-    one. Null languages and sources are groups like any other. Where no group, nor all texts together,
-    has ``least`` texts, only the base rules decide. An empty table gives no rows.
+    one. Null languages and sources are groups like any other. Only texts that fail the base rules can be
+    in a group without fences, as all others are in its sketch. An empty table gives no rows.
     """
     sketch = stage(sketches(counted), "quality-sketches")
-    rows = counted
-    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
-        own = fences(sketch.withColumn("_any", F.lit(1)), keys or ["_any"], least, reach)
-        own = own.select(*[F.col(k).alias(f"_{k}{i}") for k in keys], *[F.col(k).alias(f"_{k}{i}") for k in RATES])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}{i}")) for k in keys]
-        if keys:
-            rows = rows.join(own, same, "left")
-        else:
-            # one row at most: the fences of all texts, as values
-            found = own.first()
-            for k in RATES:
-                low, high = (found[f"_{k}{i}"] if found and found[f"_{k}{i}"] else (None, None))
-                rows = rows.withColumn(f"_{k}{i}", F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) if low is not None else F.lit(None).cast("struct<low: bigint, high: bigint>"))
+    own = fences(sketch, least, reach).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(k).alias(f"_{k}") for k in RATES])
+    rows = counted.join(own, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("lang", "source")], "left")
     bad = F.lit(False)
     for k in RATES:
-        fence = F.coalesce(*[F.col(f"_{k}{i}") for i in range(3)])
-        bad = bad | F.coalesce(rate(k) > fence["high"], F.lit(False))
-        if k == "word_length":
-            bad = bad | F.coalesce(rate(k) < fence["low"], F.lit(False))
+        bad = bad | F.coalesce(rate(k) > F.col(f"_{k}.high"), F.lit(False))
+    bad = bad | F.coalesce(rate("word_length") < F.col("_word_length.low"), F.lit(False))
     failed = base_failed()
     return rows.select(*counted.columns, failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
 

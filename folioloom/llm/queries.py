@@ -112,13 +112,17 @@ _RATES = ", ".join(f"('{k}', case when {bottom} > 0 then {top} * {scale} // {bot
 _SLACK = "case rate " + " ".join(f"when '{k}' then {v[3]}" for k, v in quality.RATES.items()) + " end"
 
 
-def _fences(name: str, keys: str) -> str:
+def _quartiles(name: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""{name}_m as (select {by}rate, bin, sum(n) as n from sketch group by {by}rate, bin),
 {name}_r as (select *, sum(n) over (partition by {by}rate order by bin) as upto, sum(n) over (partition by {by}rate) as texts from {name}_m),
-{name}_q as (select {by}rate, min(bin) filter (upto * 4 >= texts) as b1, min(bin) filter (upto * 4 >= texts * 3) as b3 from {name}_r group by {by}rate having max(texts) >= {quality.LEAST}),
-{name}_t as (select *, case when b1 < 32 then b1 else ((b1 % 16 + 17)::bigint << (b1 // 16 - 1)) - 1 end as q1, case when b3 < 32 then b3 else ((b3 % 16 + 17)::bigint << (b3 // 16 - 1)) - 1 end as q3 from {name}_q),
-{name} as (select {by}rate, q1 - ({quality.REACH} * (q3 - q1) + {_SLACK}) as low, q3 + ({quality.REACH} * (q3 - q1) + {_SLACK}) as high from {name}_t)"""
+{name}_q as (select {by}rate, max(texts)::double as texts, min(bin) filter (upto * 4 >= texts) as b1, min(bin) filter (upto * 4 >= texts * 3) as b3 from {name}_r group by {by}rate),
+{name} as (select *, (case when b1 < 32 then b1 else ((b1 % 16 + 17)::bigint << (b1 // 16 - 1)) - 1 end)::double as q1, (case when b3 < 32 then b3 else ((b3 % 16 + 17)::bigint << (b3 // 16 - 1)) - 1 end)::double as q3 from {name}_q)"""
+
+
+def _drawn(name: str, own: str, parent: str, keys: str, same: str) -> str:
+    mean = lambda q: f"(o.texts * o.{q} + {float(quality.LEAST)}::double * p.{q}) / (o.texts + {float(quality.LEAST)}::double) as {q}"
+    return f"{name} as (select {keys}, o.rate, {mean('q1')}, {mean('q3')} from {own} o join {parent} p on o.rate = p.rate{same})"
 
 
 OP3 = f"""
@@ -135,10 +139,11 @@ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 v as (select f.*, r.rate, r.value::bigint as value from f, lateral (values {_RATES}) r(rate, value)),
 b as (select *, greatest(length(bin(value)) - 5, 0) as up from v),
 sketch as (select lang, source, rate, up * 16 + (value >> up) as bin, count(*) as n from b where not base_failed group by all),
-{_fences("g1", "lang, source")}, {_fences("g2", "lang")}, {_fences("g3", "")},
-o as (select v.doc_id, bool_or(coalesce(value > coalesce(g1.high, g2.high, g3.high), false) or (v.rate = 'word_length' and coalesce(value < coalesce(g1.low, g2.low, g3.low), false))) as off
-  from v left join g1 on g1.lang is not distinct from v.lang and g1.source is not distinct from v.source and g1.rate = v.rate
-  left join g2 on g2.lang is not distinct from v.lang and g2.rate = v.rate left join g3 on g3.rate = v.rate group by v.doc_id)
+{_quartiles("q_all", "")}, {_quartiles("q_lang", "lang")}, {_quartiles("q_own", "lang, source")},
+{_drawn("d_lang", "q_lang", "q_all", "o.lang", "")}, {_drawn("d_own", "q_own", "d_lang", "o.lang, o.source", " and o.lang is not distinct from p.lang")},
+g as (select lang, source, rate, q1 - ({quality.REACH} * (q3 - q1) + {_SLACK}) as low, q3 + ({quality.REACH} * (q3 - q1) + {_SLACK}) as high from d_own),
+o as (select v.doc_id, bool_or(coalesce(value > g.high, false) or (v.rate = 'word_length' and coalesce(value < g.low, false))) as off
+  from v left join g on g.lang is not distinct from v.lang and g.source is not distinct from v.source and g.rate = v.rate group by v.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not off as kept from f join o using (doc_id)
 """
 
@@ -161,17 +166,19 @@ _MOMENTS = "case when sum({m} * (1 - {m}) * ({n} - 1)) > 0 then round(least(1000
 OP9 = rf"""
 with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 w as (select doc_id as page_id, max(greatest(toxic, 1 - quality)) as bad from labels group by doc_id),
-h as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix, count(*) as n, sum(bad) as bad from p join w using (page_id) where host <> '' group by all),
+e as (select host, string_split(host, '.') as l, length(l[-1]) = 2 and coalesce(l[-2] in {urlfilter.SECOND_LEVEL}, false) as deep, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join w using (page_id) where host <> '' group by host),
+a as (select host, n, bad, array_to_string(case when deep then l[-3:] else l[-2:] end, '.') as domain, array_to_string(case when deep then l[-2:] else l[-1:] end, '.') as suffix from e), h as (select * from a where n > 0),
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all), s as (select suffix, sum(n) as n, sum(bad) as bad from d group by all),
 g as (select (sum(bad) + 0.5) / (sum(n) + 1.0) as m from s),
 ks as (select {_MOMENTS.format(n="n", b="bad", m="m")} as k from s, g), sm as (select suffix, (bad + k * m) / (n + k) as m from s, g, ks),
 kd as (select {_MOMENTS.format(n="d.n", b="d.bad", m="sm.m")} as k from d join sm using (suffix)), dm as (select domain, (bad + k * m) / (n + k) as m from d join sm using (suffix), kd),
 kh as (select {_MOMENTS.format(n="h.n", b="h.bad", m="dm.m")} as k from h join dm using (domain)),
-hm as (select host, (bad + k * m) / (n + k) as r, n + k as t from h join dm using (domain), kh), o as (select host, r, r - 1.645 * sqrt(r * (1 - r) / (t + 1)) as low from hm),
+hk as (select host, n, bad, coalesce(dm.m, sm.m, g.m) as m, case when dm.m is not null then kh.k when sm.m is not null then kd.k else ks.k end as k from a left join dm using (domain) left join sm using (suffix), g, kh, kd, ks),
+hm as (select host, n, (bad + k * m) / (n + k) as r, n + k as t from hk), o as (select host, n, r, r - 1.645 * sqrt(r * (1 - r) / (t + 1)) as low from hm),
 f as (select *, '.' || host as dotted from p left join o using (host)),
 x as (select *, case when host = 'example.org' or ends_with(dotted, '.example.org') then case when starts_with(path, '/es/') then 'example.org/es/' when starts_with(path, '/en/1') then 'example.org/en/1' end end as deep from f),
 y as (select *, coalesce(deep, case when ends_with(dotted, '.com') and starts_with(path, '/fr/') then 'com/fr/' when ends_with(dotted, '.com') and starts_with(path, '/de/') then 'com/de/' when ends_with(dotted, '.org') and starts_with(path, '/') then 'org/' end) as rule from x)
-select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when low > 0.5 then 'block' else 'allow' end as verdict, round(r, 6) as bad_rate, round(low, 6) as bad_rate_lower from y
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when low > 0.5 then 'block' else 'allow' end as verdict, case when n > 0 then round(r, 6) end as bad_rate, case when n > 0 then round(low, 6) end as bad_rate_lower from y
 """
 
 

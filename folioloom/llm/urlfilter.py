@@ -24,6 +24,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: Labels below which registries of two-letter countries register, as in example.co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+
 
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -43,8 +46,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last one)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix. A suffix is the last label, or the last two where they are like co.uk; the domain has one label more."""
+    last, two, three = [F.substring_index(host, ".", -i) for i in (1, 2, 3)]
+    deep = (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*SECOND_LEVEL)
+    return F.when(deep, three).otherwise(two), F.when(deep, two).otherwise(last)
 
 
 def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:

@@ -88,6 +88,12 @@ def test_shards(spark):
     assert [r.shard for r in got] == sorted(r.shard for r in got)
     assert all(v == list(range(len(v))) for v in slots.values())
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 401
+    # a plain pass over the rows in order: a row goes where its middle byte lies
+    total, upto, want = sum(r.size for r in got), 0, []
+    for r in got:
+        want.append(min(7, (2 * upto + r.size) * 8 // (2 * total)))
+        upto += r.size
+    assert [r.shard for r in got] == want
 
 
 def test_shards_odd_rows(spark):
@@ -148,5 +154,38 @@ def test_unlabelled_hosts_are_judged_by_their_domain(spark):
     assert got[0].verdict == "block" and len(got) == len(rows)
 
 
+def test_levels(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.a.com": ("a.com", "com"), "a.de": ("a.de", "de"), "x.com.au": ("x.com.au", "com.au"), "co.net": ("co.net", "net"), "one": ("one", "one")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = U.levels(df["host"])
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+def test_suffixes_of_two_labels_keep_domains_apart(spark):
+    rows = [(i, f"http://{'www.bad' if i % 2 else 'www.fine'}.co.uk/{i}") for i in range(400)] + [(900, "http://new.bad.co.uk/"), (901, "http://new.fine.co.uk/")]
+    labels = [(i, i % 2) for i in range(400)]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert (got[900], got[901]) == ("block", "allow")
+
+
+def test_same_as_sql_where_the_posterior_blocks(spark, tmp_path):
+    import duckdb
+
+    from folioloom.llm import queries
+
+    hosts = ["a.spam.net", "b.spam.net", "x.fine.net", "y.fine.net", "p.bad.co.uk", "q.good.co.uk", "z.org"]
+    pages = [(i, f"http://{hosts[i % 7]}/{i}") for i in range(700)] + [(1000 + i, f"http://new.{h}/") for i, h in enumerate(("spam.net", "fine.net", "bad.co.uk", "other.co.uk", "other.net", "other.xyz"))]
+    labels = [(i, int(hosts[i % 7] in ("a.spam.net", "b.spam.net", "p.bad.co.uk") and i % 31 != 0), 1) for i in range(700) if i % 3]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.sql(queries.OP9).fetchall()
+    got = [tuple(r) for r in queries.op9_url_filter(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[4] for r in got if r[3] is None and r[0] >= 1000} == {"block", "allow"}
+
+
 def test_no_pages(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0

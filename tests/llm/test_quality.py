@@ -60,6 +60,36 @@ def test_small_groups_take_merged_sketches(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
 
 
+def test_quartiles_are_drawn_to_the_parent(spark):
+    """Against a plain computation, with a large group, a small one and one of a single text."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        lang, source, longest = ("en", "big", 6) if i < 400 else ("en", "small", 14) if i < 499 else ("de", None, 25)
+        rows.append((i, " ".join("x" * rng.randint(2, longest) for _ in range(30)) + " !", lang, source, 0))
+    counted = Q.counts(table(spark, rows)).cache()
+    texts = counted.collect()
+
+    def top(v):
+        up = max(len(bin(v)) - 2 - 5, 0)
+        return ((v >> up) + 1 << up) - 1 if up else v
+
+    def quart(some, q):
+        values = sorted(top(r.word_chars * 1000 // r.n_words) for r in some if not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words))
+        return values[-(-len(values) * q // 4) - 1], len(values)
+
+    def drawn(some, parent):
+        return [((n := quart(some, q)[1]) * quart(some, q)[0] + Q.LEAST * p) / (n + Q.LEAST) for q, p in zip((1, 3), parent, strict=True)]
+
+    every = drawn(texts, [quart(texts, q)[0] for q in (1, 3)])
+    assert every == [quart(texts, q)[0] for q in (1, 3)]
+    got = {(r.lang, r.source): r.word_length for r in Q.fences(Q.sketches(counted)).collect()}
+    for lang, source in (("en", "big"), ("en", "small"), ("de", None)):
+        low, high = drawn([r for r in texts if (r.lang, r.source) == (lang, source)], drawn([r for r in texts if r.lang == lang], every))
+        wide = Q.REACH * (high - low) + Q.RATES["word_length"][3]
+        assert abs(got[lang, source].low - (low - wide)) < 1e-6 and abs(got[lang, source].high - (high + wide)) < 1e-6
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = Q.rules(clashing(df), least=1).collect()
