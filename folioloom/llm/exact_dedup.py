@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, by_group, stage
+from .common import attach, by_group, free_names, stage
 
 INDEX = "bucket int, n_keys long, levels array<int>, bits binary, left binary, digests binary, ids binary, rows binary, counts binary"
 GROUPS = "digest binary, keep_id long, keep_row long, group_size long, in_history boolean"
@@ -183,13 +183,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = keys(docs)
     out = stage(with_groups(rows, dedup(*halves(rows))).select("doc_id", "digest", (F.col("row") == F.col("keep_row")).alias("kept")), "dedup-marks")
     key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    pair = [F.col("_fl_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_fl_digest") == key)]
-    named = lambda df: df.select(F.col("doc_id").alias("_fl_id"), F.col("digest").alias("_fl_digest"))
+    own_id, own_digest = free_names(docs, "_fl_id", "_fl_digest")
+    pair = [F.col(own_id).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(own_digest) == key)]
+    named = lambda df: df.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest))
     per = out.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     gone = named(per.filter("not kept"))
     left = docs.join(gone.hint("shuffle_hash"), pair, "left_anti")
     twice = stage(named(per.filter("kept and n > 1")), "dedup-twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, pair, "left_semi").withColumn("_fl_digest", key).dropDuplicates(["doc_id", "_fl_digest"]).drop("_fl_digest")
+    once = left.join(twice, pair, "left_semi").withColumn(own_digest, key).dropDuplicates(["doc_id", own_digest]).drop(own_digest)
     return left.join(twice, pair, "left_anti").unionByName(once)

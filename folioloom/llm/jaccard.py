@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, by_group, drop_staged, stage
+from .common import WORD, attach, by_group, drop_staged, free_names, stage
 
 #: Hash buckets for shingle frequencies; a byte each on the workers, whatever the input.
 BUCKETS = 1 << 22
@@ -571,12 +571,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that share that id one stays. Rows without words, or without an id, all stay.
     """
-    marks = join(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_fl_id")).distinct()
-    left = docs.join(marks.hint("shuffle_hash"), docs["doc_id"] == F.col("_fl_id"), "left_anti")
-    twice = stage(docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD)).groupBy(F.col("doc_id").alias("_fl_id")).count().filter("count > 1").select("_fl_id"), "join-twice")
+    (own,) = free_names(docs, "_fl_id")
+    marks = join(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(marks.hint("shuffle_hash"), docs["doc_id"] == F.col(own), "left_anti")
+    twice = stage(docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD)).groupBy(F.col("doc_id").alias(own)).count().filter("count > 1").select(own), "join-twice")
     if twice.isEmpty():
         return left
     has = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    again = left.join(twice, left["doc_id"] == F.col("_fl_id"), "left_semi")
+    again = left.join(twice, left["doc_id"] == F.col(own), "left_semi")
     once = again.filter(has).dropDuplicates(["doc_id"])
-    return left.join(twice, left["doc_id"] == F.col("_fl_id"), "left_anti").unionByName(once).unionByName(again.filter(~has))
+    return left.join(twice, left["doc_id"] == F.col(own), "left_anti").unionByName(once).unionByName(again.filter(~has))

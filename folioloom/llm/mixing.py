@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_staged, id_hash, range_parts, stage, sums_before, word_count
+from .common import drop_staged, free_names, id_hash, range_parts, stage, sums_before, word_count
 
 #: Fixed values of the mix: weights by source in code-point order, repeating; share of all sizes; most passes.
 WEIGHTS = (5, 2, 1)
@@ -112,7 +112,8 @@ def draw(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = P
     sized = stage(docs.select(F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), hashed.alias("_hash")), "mix-sizes")
     sums = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     cuts = thresholds(sized, source_targets(sums, weights, share, passes))
-    cuts = stage(cuts.select(F.col("source").alias("_fl_source"), F.col("_full").alias("_fl_full"), F.col("_cut").alias("_fl_cut")), "mix-cuts")
-    copies = (F.col("_fl_full") + F.when(hashed < F.col("_fl_cut"), 1).otherwise(0)).cast("int")
-    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col("_fl_source")))
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("_fl_copy")).drop("_fl_copy")
+    source, full, cut, copy = free_names(docs, "_fl_source", "_fl_full", "_fl_cut", "_fl_copy")
+    cuts = stage(cuts.select(F.col("source").alias(source), F.col("_full").alias(full), F.col("_cut").alias(cut)), "mix-cuts")
+    copies = (F.col(full) + F.when(hashed < F.col(cut), 1).otherwise(0)).cast("int")
+    taken = docs.join(cuts, F.col("source").eqNullSafe(F.col(source)))
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)

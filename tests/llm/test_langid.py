@@ -30,6 +30,25 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_same_as_a_plain_compressor(spark):
+    import zstandard
+
+    df = table(spark, corpus(150, 3))
+    learned = L.learn(df.filter("doc_id < 100"), sample=50)
+
+    def plain(text):
+        sizes = {}
+        for lang, content in learned.items():
+            one = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+            sizes[lang] = len(one.compress(L.letters(text)))
+        best, second = sorted(sizes.values())[:2]
+        return min(k for k, v in sizes.items() if v == best), (second - best) / best
+
+    text = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: (r.lang_pred, r.margin) for r in L.identify(df, learned).collect()}
+    assert got == {i: plain(t) for i, t in text.items()}
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = L.identify(df, L.learn(df)).collect()
