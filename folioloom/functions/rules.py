@@ -85,3 +85,34 @@ def tone_table(exposure: float = 0, contrast: float = 0, highlights: float = 0,
 def apply_table(value: Column, table: list[int]) -> Column:
     """A value through a 256-entry table; the table is a literal, so there is no join."""
     return F.element_at(F.array(*map(F.lit, table)), value + 1)
+
+
+#: Weights of red and blue in the brightness; green has the rest.
+BRIGHTNESS = {"yuv": (0.299, 0.114), "gray": (11 / 32, 5 / 32)}
+
+
+def _level(value: Column) -> Column:
+    """A channel cut towards 0 and to 0..255."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), value.cast("int")))
+
+
+def with_brightness(r: Column, g: Column, b: Column, brightness: Column, kind: str = "yuv") -> Column:
+    """The colour (struct r, g, b) that has another brightness and the same chroma, rounded."""
+    wr, wb = BRIGHTNESS[kind]
+    wg = 1 - wr - wb
+    shift = brightness - (wr * r + wg * g + wb * b)
+    red, blue = r + shift, b + shift
+    green = (brightness - red * wr - blue * wb) / wg
+    return F.struct(_level(red + 0.5).alias("r"), _level(green + 0.5).alias("g"), _level(blue + 0.5).alias("b"))
+
+
+def blend(start: Column, end: Column, share: Column) -> Column:
+    """A channel on the way from one level to another; the share is cut to 0..1. Channels have 16 bits between, of which 8 are kept."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return F.shiftright(F.floor((start + (end - start) * t) / 255 * 65535 + 0.5).cast("int"), 8)
+
+
+def mixed_level(level: Column, weight: Column) -> Column:
+    """Aggregate: the mean level by whole weights, rounded half up; null where all weights are 0."""
+    total = F.sum(weight)
+    return F.when(total > 0, F.floor((F.sum(level * weight) + F.floor(total / 2)) / total)).cast("int")

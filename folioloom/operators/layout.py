@@ -1,12 +1,14 @@
 """Project-wide size statistics, votes and summaries over page tables.
 
 Statistics of all pages are scalar subqueries: they are computed once and reach every row as a value,
-so that no window puts a whole project into one task. Medians interpolate.
+so that no window puts a whole project into one task. Medians interpolate; they are found when the
+plan is made (``exact_medians``) and enter it as literals.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -65,8 +67,49 @@ def excessive_soft_margins(df: DataFrame, threshold: float) -> DataFrame:
     return rows.filter(F.col("ratio") >= threshold).drop("_a")
 
 
+#: Distances from the middle at which a sketch is asked for bounds of the median, and the sketch's accuracy.
+NEAR, ACCURACY = (2e-4, 2e-2, 0.5), 20_000
+
+
+def exact_medians(df: DataFrame, columns: list[str], **more: Column) -> dict[str, float | None]:
+    """Exact medians of numeric columns (nulls don't count; None without values), the mean of the middle two where they differ.
+
+    ``more`` are aggregates to take in the same pass, returned by their names.
+
+    A mergeable sketch of bounded size gives bounds around the middle; only values between them are
+    counted one by one, by a shuffle on the value, and ranked in a window that can spill. The sketch
+    decides what is counted, never the result: where its bounds don't hold the middle, all values are ranked.
+    """
+    shares = [0.5 + d for near in NEAR for d in (-near, near)]
+    row = df.agg(*[f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("q", lambda v: F.percentile_approx(v.cast("double"), shares, ACCURACY)))], *[a.alias(k) for k, a in more.items()]).first()
+    size = {i: row[f"n{i}"] for i in range(len(columns))}
+    out: dict[str, float | None] = {c: None for c in columns}
+    for all_values in (False, True):
+        todo = [i for i, c in enumerate(columns) if size[i] and out[c] is None]
+        if not todo:
+            break
+        kept = []
+        for i in todo:
+            at = next((k for k, near in enumerate(NEAR) if near * size[i] > 2 + 2 * size[i] / ACCURACY), len(NEAR) - 1)
+            low, high = (float("-inf"), float("nan")) if all_values else row[f"q{i}"][2 * at : 2 * at + 2]
+            v = F.col(columns[i]).cast("double")
+            # what lies under the bounds is one entry, without a value
+            kept.append(F.when(v <= high, F.struct(F.lit(i).alias("i"), F.when(v >= low, v).alias("v"))))
+        each = df.select(F.explode(F.array(*kept)).alias("_s")).filter("_s is not null").select("_s.*").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+        upto = each.withColumn("upto", F.sum("c").over(W.partitionBy("i").orderBy(F.col("v").asc_nulls_first())))
+        n = F.element_at(F.create_map(*[F.lit(x) for i in todo for x in (i, size[i])]), F.col("i"))
+        middle = upto.withColumn("n", n).filter("v is not null and upto > (n - 1) div 2 and upto - c <= n div 2").collect()  # two rows a column at most
+        for i in todo:
+            pick = [next((r.v for r in middle if r.i == i and r.upto - r.c <= k < r.upto), None) for k in ((size[i] - 1) // 2, size[i] // 2)]
+            if None not in pick:
+                out[columns[i]] = 0.5 * pick[0] + 0.5 * pick[1]
+    return out | {k: row[k] for k in more}
+
+
 def _medians(df: DataFrame) -> Column:
-    return df.agg(F.struct(F.median("w").alias("mw"), F.median("h").alias("mh"), F.max("w").alias("xw"), F.max("h").alias("xh"), F.count(F.lit(1)).alias("n"))).scalar()
+    """Medians, maxima and number of rows as one value."""
+    got = exact_medians(df, ["w", "h"], xw=F.max("w"), xh=F.max("h"), n=F.count(F.lit(1)))
+    return F.struct(*[F.lit(got[k]).cast("long" if name == "n" else "double").alias(name) for k, name in (("w", "mw"), ("h", "mh"), ("xw", "xw"), ("xh", "xh"), ("n", "n"))])
 
 
 def outliers(df: DataFrame, threshold: float) -> DataFrame:
@@ -109,7 +152,7 @@ def coverage(df: DataFrame, low: float = 0.5) -> DataFrame:
 
 def width_deviation(df: DataFrame, threshold: float = 10.0) -> DataFrame:
     """Of each page box the deviation of its width from the median in percent, and whether it is over the threshold."""
-    rows = df.withColumn("_m", df.agg(F.median("w")).scalar())
+    rows = df.withColumn("_m", F.lit(exact_medians(df, ["w"])["w"]).cast("double"))
     return rows.withColumn("deviation", F.when(F.col("_m") > 0, F.abs(F.col("w") - F.col("_m")) / F.col("_m") * 100).otherwise(0.0)).withColumn("is_off", F.col("deviation") > threshold).drop("_m")
 
 

@@ -44,6 +44,14 @@ def every_other(pages: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:
     return pages.join(_base(pages, base, by), by).filter("(pos - base_pos) % 2 = 0").drop("base_pos")
 
 
+def every_other_in_range(selected: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:
+    """Selected pages at an even distance from the base page, within the contiguous run that holds it."""
+    run = F.col("pos") - F.row_number().over(W.partitionBy(*by).orderBy("pos"))
+    runs = selected.withColumn("_run", run)
+    at = runs.join(base, [*by, "page_id"], "left_semi").groupBy(*by, "_run").agg(F.min("pos").alias("base_pos"))
+    return runs.join(at, [*by, "_run"]).filter("(pos - base_pos) % 2 = 0").drop("base_pos", "_run")
+
+
 def ranges(selected: DataFrame, by: list[str]) -> DataFrame:
     """Contiguous runs of selected positions: first, last, number."""
     run = F.col("pos") - F.row_number().over(W.partitionBy(*by).orderBy("pos"))

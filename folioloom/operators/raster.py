@@ -248,6 +248,53 @@ def gray_op_arrays(a: Column, b: Column, op) -> Column:
     return F.zip_with(a, b, GRAY_OPS.get(op, op) if isinstance(op, str) else op)
 
 
+#: Operations on bits: s of the source, d of the destination; black is 1.
+BIT_OPS = {
+    "src": lambda s, d: s,
+    "dst": lambda s, d: d,
+    "not_src": lambda s, d: 1 - s,
+    "not_dst": lambda s, d: 1 - d,
+    "and": lambda s, d: s.bitwiseAND(d),
+    "or": lambda s, d: s.bitwiseOR(d),
+    "xor": lambda s, d: s.bitwiseXOR(d),
+    "subtract": lambda s, d: s.bitwiseAND(1 - d),
+    "subtract_white": lambda s, d: s.bitwiseOR(1 - d),
+}
+
+
+def bit_op(src: DataFrame, dst: DataFrame, op) -> DataFrame:
+    """Two bit rasters of the same images, pixel by pixel; ``op`` is a name of BIT_OPS or a function of two columns."""
+    f = BIT_OPS.get(op, op) if isinstance(op, str) else op
+    return src.join(dst.select(IMG, "y", "x", F.col("b").alias("_d")), [IMG, "y", "x"]).select(IMG, "y", "x", f(F.col("b"), F.col("_d")).alias("b"))
+
+
+def stretch_range(px: DataFrame, black: float, white: float) -> DataFrame:
+    """Levels stretched to 0..255 between two bounds, so that a share of the pixels is cut at either end.
+
+    A share of 1 or more is the bound itself. Where the lower bound isn't under the upper one, the
+    levels up to their mean turn 0 and the rest 255. An image's histogram has 256 rows at most.
+    """
+    n = px.groupBy(IMG, "v").agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(IMG)
+    total = F.sum("_n").over(w)
+    up, down = F.sum("_n").over(w.orderBy("v")), F.sum("_n").over(w.orderBy(F.col("v").desc()))
+    cut = lambda share: F.floor(share * F.col("_total") + 0.5)
+    lo = F.lit(int(black + 0.5)) if black >= 1 else F.coalesce(F.min(F.when(F.col("_up") > cut(black), F.col("v"))), F.lit(256))
+    hi = F.lit(int(white + 0.5)) if white >= 1 else F.coalesce(F.max(F.when(F.col("_down") > cut(white), F.col("v"))), F.lit(-1))
+    bounds = n.withColumns({"_total": total, "_up": up, "_down": down}).groupBy(IMG).agg(F.max("_total").alias("_t"), lo.alias("_lo"), hi.alias("_hi"))
+    level = F.greatest(F.col("_lo"), F.least(F.col("v"), F.col("_hi")))
+    flat = F.when(F.col("v") <= F.expr("(_lo + _hi) div 2"), 0).otherwise(255)
+    stretched = F.floor((255 * (level - F.col("_lo")) + F.floor((F.col("_hi") - F.col("_lo")) / 2)) / (F.col("_hi") - F.col("_lo")))
+    return px.join(bounds, IMG).select(IMG, "y", "x", F.when(F.col("_lo") >= F.col("_hi"), flat).otherwise(stretched).cast("int").alias("v"))
+
+
+def framed(images: DataFrame, w: int, h: int, inner: int = 255, frame: int = 0) -> DataFrame:
+    """For each image a raster of one level with a frame of one pixel."""
+    grid = images.select(IMG, F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select(IMG, "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"))
+    edge = F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)
+    return grid.withColumn("v", F.when(edge, frame).otherwise(inner))
+
+
 def combine(base: DataFrame, over: DataFrame, mask: DataFrame) -> DataFrame:
     """``over`` where the mask is black, else ``base``."""
     top = over.join(mask.filter("b = 1"), [IMG, "y", "x"], "left_semi").select(IMG, "y", "x", F.col("v").alias("_o"))

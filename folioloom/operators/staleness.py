@@ -56,6 +56,14 @@ def deskew_matches(old: Column, new: Column) -> Column:
     return (old["rotation"] == new["rotation"]) & outlines_match(old["outline"], new["outline"])
 
 
+def deskew_zero(params: DataFrame, pages: DataFrame) -> DataFrame:
+    """The deskew parameters (page_id, angle, mode, deps) with those of all given pages set by hand to angle 0, without dependencies; other pages keep theirs."""
+    deps = params.schema["deps"].dataType
+    rest = params.join(pages, "page_id", "left_anti").select("page_id", "angle", "mode", "deps")
+    zero = pages.select("page_id").distinct().select("page_id", F.lit(0.0).alias("angle"), F.lit("manual").alias("mode"), F.lit(None).cast(deps).alias("deps"))
+    return rest.unionByName(zero)
+
+
 def content_needs(old: Column, new: Column, mode: Column) -> dict[str, Column]:
     """Which outputs of content selection must be computed again: automatic ones whose page rect or outline changed."""
     changed = ~old.eqNullSafe(new)

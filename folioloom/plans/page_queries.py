@@ -57,6 +57,12 @@ def select_every_other(spark, sf_dir):
     return P.every_other(_turns(spark, sf_dir), _base(spark, sf_dir), ["project"]).select("project", "page_id", "pos")
 
 
+@query(_WITH_BASE + """, s as (select project, page_id, pos, pos - row_number() over (partition by project order by pos) as run from p where pos % 5 <> 4),
+h as (select s.project, s.run, s.pos as origin from s join b on b.project = s.project and b.base = s.pos) select s.project, s.page_id, s.pos from s join h using (project, run) where (s.pos - origin) % 2 = 0""")
+def select_every_other_in_range(spark, sf_dir):
+    return P.every_other_in_range(_turns(spark, sf_dir).filter("pos % 5 <> 4"), _base(spark, sf_dir), ["project"]).select("project", "page_id", "pos")
+
+
 @query("""
 with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events),
 s as (select user_id, pos, pos - row_number() over (partition by user_id order by pos) as g from e where event_type <> 'view')
@@ -287,6 +293,12 @@ def order_by_page_id(spark, sf_dir):
     return O.ranked(x, [*O.by_page_id(), F.col("l_linenumber")], ["l_orderkey"]).select("l_orderkey", "l_linenumber", "pos")
 
 
+@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by 's' || l_suppkey % 3, l_partkey % 4, l_linenumber) - 1 as pos from lineitem")
+def order_by_image_id(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").withColumns({"path": F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")), "page": F.col("l_partkey") % 4})
+    return O.ranked(x, [*O.by_image_id(), F.col("l_linenumber")], ["l_orderkey"]).select("l_orderkey", "l_linenumber", "pos")
+
+
 @query("select o_custkey, o_orderkey, rank from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3")
 def top_pages(spark, sf_dir):
     return O.top_k(table(spark, sf_dir, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], ["o_custkey"], 3).select("o_custkey", "o_orderkey", "rank")
@@ -427,3 +439,13 @@ select o_custkey, round(case when n * sxx = sx * sx then 0 else (n * sxy - sx *
 def line_fit(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 97).cast("double").alias("x"), F.col("o_totalprice").alias("y"))
     return S.line_fit(o, ["o_custkey"]).select("o_custkey", F.round("slope", 3).alias("slope"))
+
+
+@query("""
+with p as (select l_partkey as page_id, max(l_tax) as tax, max(l_orderkey) as deps from lineitem group by l_partkey), z as (select p_partkey as page_id from part where p_size > 25)
+select page_id, 0.0::double as angle, 'manual' as mode, null::bigint as deps from z
+union all select page_id, cast(tax as double), 'auto', deps from p where page_id not in (select page_id from z)
+""")
+def deskew_zero(spark, sf_dir):
+    params = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("page_id")).agg(F.max("l_tax").cast("double").alias("angle"), F.lit("auto").alias("mode"), F.max("l_orderkey").cast("long").alias("deps"))
+    return T.deskew_zero(params, table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("page_id")))

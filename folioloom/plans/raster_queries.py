@@ -335,3 +335,68 @@ n as (select img_id, min(b) as b, max(e) as e from sp group by img_id)
 select n.img_id, cast(coalesce(o.mid, case when greatest(n.b - 4.0, 4.0 - n.e) > 15 then 4.0 when n.b > 8 - n.e then n.b - 15.0 else n.e + 15.0 end) as double) as cut from n left join o on o.img_id = n.img_id and o.r = 1""")
 def cut_position(spark, sf_dir):
     return S.cut_position(S.content_spans(_columns(spark, sf_dir), ["img_id"], 1, 1), ["img_id"], 8, True)
+
+
+_BITS = {"src": "a", "dst": "c", "not_src": "1 - a", "not_dst": "1 - c", "and": "a & c", "or": "a | c", "xor": "xor(a, c)", "subtract": "case when a = 1 and c = 0 then 1 else 0 end", "subtract_white": "case when a = 0 and c = 1 then 0 else 1 end"}
+for _op, _sql in _BITS.items():
+    query(WITH + f"select p.img_id // 2 as img_id, y, x, ({_sql})::int as b from (select img_id, y, x, b as a from bits where img_id % 2 = 0) p join (select img_id - 1 as img_id, y, x, b as c from bits where img_id % 2 = 1) q using (img_id, y, x)", f"bit_{_op}")(
+        lambda spark, sf_dir, op=_op: R.bit_op(*_bit_pair(spark, sf_dir), op))
+
+
+def _bit_pair(spark, sf_dir):
+    b = bits(spark, sf_dir)
+    side = lambda k: b.filter(F.col("img_id") % 2 == k).select(F.expr("img_id div 2").alias("img_id"), "y", "x", "b")
+    return side(0), side(1)
+
+
+def _stretch_sql(black: str, white: str) -> str:
+    """Bounds by counting, for each level that occurs, the pixels at or under and at or over it."""
+    lo = black if float(black) >= 1 else f"coalesce(min(l) filter ((select count(*) from px q where q.img_id = k.img_id and q.v <= l) > floor({black}::double * 64 + 0.5)), 256)"
+    hi = white if float(white) >= 1 else f"coalesce(max(l) filter ((select count(*) from px q where q.img_id = k.img_id and q.v >= l) > floor({white}::double * 64 + 0.5)), -1)"
+    return WITH + f""", k as (select distinct img_id, v as l from px), t as (select img_id, {lo} as lo, {hi} as hi from k group by img_id)
+select img_id, y, x, cast(case when lo >= hi then case when v <= (lo + hi) // 2 then 0 else 255 end else (255 * (least(hi, greatest(lo, v)) - lo) + (hi - lo) // 2) // (hi - lo) end as int) as v from px join t using (img_id)"""
+
+
+for _name, _black, _white in (("stretch_range", "0.05", "0.1"), ("stretch_range_fixed", "40", "0.02"), ("stretch_range_flat", "0.6", "0.7")):
+    query(_stretch_sql(_black, _white), _name)(lambda spark, sf_dir, b=float(_black), w=float(_white): R.stretch_range(px(spark, sf_dir), b, w))
+
+
+@query("select vec_id as img_id, y::int as y, x::int as x, case when y in (0, 3) or x in (0, 4) then 7 else 250 end as v from embeddings cross join range(4) a(y) cross join range(5) b(x)")
+def framed_raster(spark, sf_dir):
+    return R.framed(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id")), 5, 4, 250, 7)
+
+
+_RGB = WITH + ", c as (select img_id, y, x, v as r, least(255, v + 10) as g, greatest(0, v - 9 * x) as b, (v * 5 + x * 17 + y) % 256 as l from px)"
+
+
+def _rgb(spark, sf_dir):
+    v = F.col("v")
+    return px(spark, sf_dir).select("img_id", "y", "x", v.alias("r"), F.least(F.lit(255), v + 10).alias("g"), F.greatest(F.lit(0), v - 9 * F.col("x")).alias("b"), ((v * 5 + F.col("x") * 17 + F.col("y")) % 256).alias("l"))
+
+
+def _brightness_sql(wr: float, wb: float) -> str:
+    cut = lambda e: f"greatest(0, least(255, cast(trunc({e}) as int)))"
+    wr_, wb_, wg_ = f"{wr!r}::double", f"{wb!r}::double", f"(1 - {wr!r}::double - {wb!r}::double)"
+    return _RGB + f""", s as (select *, l - ({wr_} * r + {wg_} * g + {wb_} * b) as up from c), t as (select *, r + up as nr, b + up as nb from s)
+select img_id, y, x, {cut("nr + 0.5::double")} as r, {cut(f"(l - nr * {wr_} - nb * {wb_}) / {wg_} + 0.5::double")} as g, {cut("nb + 0.5::double")} as b from t"""
+
+
+for _kind, (_wr, _wb) in rules.BRIGHTNESS.items():
+    query(_brightness_sql(_wr, _wb), f"brightness_{_kind}")(
+        lambda spark, sf_dir, kind=_kind: _rgb(spark, sf_dir).select("img_id", "y", "x", rules.with_brightness(F.col("r"), F.col("g"), F.col("b"), F.col("l"), kind).alias("_c")).select("img_id", "y", "x", "_c.*"))
+
+
+@query(_RGB + "select img_id, y, x, cast(floor((r + (b - r) * least(1.0::double, greatest(0.0::double, l / 200.0::double - 0.1::double))) / 255 * 65535 + 0.5::double) as int) >> 8 as v from c")
+def color_interpolation(spark, sf_dir):
+    return _rgb(spark, sf_dir).select("img_id", "y", "x", rules.blend(F.col("r"), F.col("b"), F.col("l") / 200.0 - 0.1).alias("v"))
+
+
+@query(WITH + "select img_id, y, case when sum(x % 3) > 0 then cast((sum(v * (x % 3)) + sum(x % 3) // 2) // sum(x % 3) as int) end as v from px group by img_id, y")
+def color_mix(spark, sf_dir):
+    return px(spark, sf_dir).groupBy("img_id", "y").agg(rules.mixed_level(F.col("v"), F.col("x") % 3).alias("v"))
+
+
+@query(WITH + """, m as (select img_id, y + cast(floor(-0.3 * (x + 0.5 - 4) + 0.5) as int) as y, x, v from px)
+select p.img_id, p.y, p.x, coalesce(m.v, 9) as v from px p left join m on m.img_id = p.img_id and m.y = p.y and m.x = p.x""")
+def vertical_shear(spark, sf_dir):
+    return R.shear(px(spark, sf_dir), -0.3, 4.0, 8, horizontal=False, background=9)

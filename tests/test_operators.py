@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,33 @@ def test_empty_rasters(spark):
     px = spark.createDataFrame([], "img_id int, y int, x int, v int")
     for df in (R.histogram(px), R.otsu(px), R.opened(px), R.local_threshold(px, "sauvola"), R.dominant_level(px), R.plate_entropy(px)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 150, 151, 30000])
+def test_exact_medians(spark, n):
+    rng = np.random.default_rng(n)
+    w, h = rng.integers(0, 40, n) * 1.0, rng.lognormal(0, 2, n)
+    rows = [(float(a), float(b) if i % 7 else None) for i, (a, b) in enumerate(zip(w, h, strict=True))]
+    got = L.exact_medians(spark.createDataFrame(rows, "w double, h double"), ["w", "h"])
+    some = [b for _, b in rows if b is not None]
+    assert got == {"w": np.median(w), "h": np.median(some) if some else None}
+
+
+def test_exact_medians_without_values(spark):
+    assert L.exact_medians(spark.createDataFrame([(None,)], "w double"), ["w"]) == {"w": None}
+    assert L.exact_medians(spark.createDataFrame([], "w double"), ["w"]) == {"w": None}
+    assert L.exact_medians(spark.createDataFrame([(1,), (2,), (4,), (9,)], "w int"), ["w"]) == {"w": 3.0}
+
+
+def test_sketch_bounds_that_miss_the_middle(spark, monkeypatch):
+    """Bounds decide what is counted, not the result."""
+    monkeypatch.setattr(L, "NEAR", (-0.4, -0.4, -0.4))
+    assert L.exact_medians(spark.range(101).select(F.col("id").cast("double").alias("w")), ["w"]) == {"w": 50.0}
+
+
+def test_stretch_bounds(spark):
+    px = spark.createDataFrame([(1, 0, x, v) for x, v in enumerate([10, 20, 30, 40, 250])], "img_id int, y int, x int, v int")
+    level = lambda b, w: [r.v for r in R.stretch_range(px, b, w).orderBy("x").collect()]
+    assert level(0.2, 0.2) == [0, 0, 128, 255, 255]
+    assert level(0.6, 0.6) == [0, 0, 0, 255, 255]
+    assert level(10, 250) == [0, 11, 21, 32, 255]
