@@ -5,6 +5,9 @@ Reading resolves the ids (directory, file, image, page) by equi-joins; writing n
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +89,27 @@ def metrics_json(stages: DataFrame) -> DataFrame:
     """Stage timings (run, stage, ms, pages) as one JSON text for each run."""
     per = stages.groupBy("run").agg(F.sum("ms").alias("total_ms"), F.max("pages").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("stages"))
     return per.select("run", F.to_json(F.struct("run", "total_ms", "pages", (F.col("total_ms") / F.greatest("pages", F.lit(1))).alias("ms_per_page"), "stages")).alias("json"))
+
+
+def project_folder(path: str, create: bool = False, extension: str = ".xml") -> dict[str, str]:
+    """Where a project folder keeps its file (named like the folder, with the extension that the caller's files have), originals, cache and output; ``create`` makes the folders that are missing."""
+    base = os.path.abspath(path)
+    folders = {name: os.path.join(base, name) for name in ("originals", "cache", "output")}
+    if create:
+        for folder in folders.values():
+            os.makedirs(folder, exist_ok=True)
+    return {"project": os.path.join(base, os.path.basename(base) + extension), **folders}
+
+
+def copy_original(source: str, path: str) -> str | None:
+    """Copy an image into the project's originals; a name that is taken gets _1, _2 and so on before its last suffix. None without a source."""
+    if not os.path.exists(source):
+        return None
+    stem, dot, suffix = os.path.basename(source).rpartition(".")
+    if not dot:
+        stem, suffix = suffix, ""
+    folder, name, n = project_folder(path, create=True)["originals"], os.path.basename(source), 0
+    while os.path.exists(os.path.join(folder, name)):
+        n += 1
+        name = f"{stem}_{n}{'.' if suffix else ''}{suffix}"
+    return shutil.copyfile(source, os.path.join(folder, name))

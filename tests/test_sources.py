@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 
@@ -148,3 +149,14 @@ def test_thumbnails(spark):
     df = spark.createDataFrame([("p", 31, 19, 1, bytearray(GRAY.tobytes())), ("q", 1, 1, 1, None)], "path string, w int, h int, channels int, px binary")
     (r,) = pdf.thumbnails(df, 10).collect()
     assert (r.w, r.h, len(r.px)) == (10, 6, 60) and r.key.endswith("-10-1")
+
+
+def test_project_folder(tmp_path):
+    folder = project.project_folder(str(tmp_path / "Book"), create=True)
+    assert all(os.path.isdir(folder[k]) for k in ("originals", "cache", "output"))
+    assert os.path.basename(folder["project"]) == "Book.xml"
+    (tmp_path / "a.b.tif").write_bytes(b"1")
+    (tmp_path / "plain").write_bytes(b"2")
+    copied = [os.path.basename(project.copy_original(str(tmp_path / n), str(tmp_path / "Book"))) for n in ("a.b.tif", "a.b.tif", "a.b.tif", "plain", "plain")]
+    assert copied == ["a.b.tif", "a.b_1.tif", "a.b_2.tif", "plain", "plain_1"]
+    assert project.copy_original(str(tmp_path / "none"), str(tmp_path / "Book")) is None
